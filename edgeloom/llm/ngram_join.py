@@ -5,8 +5,8 @@
 2. Shingles are ordered from rare to frequent by those counts, then by hash. Any fixed order is exact; this one keeps
    passages that many documents share out of the prefixes. Classes with identical prefixes and size form one group, and
    only groups enter the index: (shingle, group, size, position).
-3. Every posting list links its groups to a hub of fitting size; members of a group link to its first member. These star
-   pairs are verified on the whole sets and give first components.
+3. Every posting list links its groups to a hub of fitting size, and each group keeps the hubs it shares most lists with;
+   members of a group link to its first member. These star pairs are verified on the whole sets and give first components.
 4. Pairs inside one component need no verification any more. All others that share a prefix shingle and pass the size and
    position filters are expanded to members and verified. In a list, only rows outside its largest component are joined
    with the list, so a component of many near copies does not make the square of its size.
@@ -23,6 +23,7 @@ keeps a second one and stops the run if two sets ever meet in the first.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ NUM, DEN = 4, 5
 COUNT_BITS = 20  # counters of the frequency table: 4 MiB, whatever the input
 SEGMENT = 4 << 20
 SALTS = 16
+HUBS = 3  # of each group, by the number of lists they share; all other pairs wait for step 4
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -189,10 +191,11 @@ def _fits(n1: int, p1: int, n2: int, p2: int) -> bool:
 
 
 def _lists(batches):
-    """Rows sorted by token, size, group. Of lists with two groups or more: the rows, and a link to a hub for each group."""
+    """Rows sorted by token, size, group. Of lists with two groups or more: the rows, and each group's links to hubs, with
+    the number of lists (in n) that make the link."""
     names, kinds = ["token", "gp", "n", "pos", "hub"], [_L, _L, _I, _I, _L]
     state = {"token": None, "first": None, "hub": None, "gp": None}
-    linked: set = set()
+    linked: Counter = Counter()
     for batch in batches:
         token = batch.column("token").to_numpy()
         if not len(token):
@@ -214,14 +217,14 @@ def _lists(batches):
                 state["gp"] = gp
                 hub, hn, hp = state["hub"]
                 if _fits(hn, hp, n, pos):
-                    if (hub, gp) not in linked:
-                        if len(linked) > 500_000:
-                            linked.clear()
-                        linked.add((hub, gp))
-                        rows.append((None, gp, None, None, hub))
+                    linked[hub, gp] += 1
                 else:
                     state["hub"] = (gp, n, pos)
+        if len(linked) > 300_000:
+            rows += [(None, gp, k, None, hub) for (hub, gp), k in linked.items()]
+            linked.clear()
         yield _batch(rows, kinds, names)
+    yield _batch([(None, gp, k, None, hub) for (hub, gp), k in linked.items()], kinds, names)
 
 
 def _sets(batches):
@@ -287,7 +290,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = materialize(index.mapInArrow(_lists, "token long, gp long, n int, pos int, hub long"), "lists")
 
     heads = groups.groupBy("gp").agg(F.min("g").alias("head"))
-    links = lists.where("hub is not null").select("gp", "hub").distinct()
+    links = lists.where("hub is not null").groupBy("gp", "hub").agg(F.sum("n").alias("k")).groupBy("gp").agg(F.sort_array(F.collect_list(F.struct("k", "hub")), asc=False).alias("hubs"))
+    links = links.select("gp", F.explode(F.slice("hubs", 1, HUBS)).alias("h")).select("gp", "h.hub")
     star = links.join(heads, "gp").select(F.col("head").alias("x"), F.col("hub").alias("gp")).join(heads, "gp").select(*_pair(F.col("x"), F.col("head")))
     inner = groups.join(heads, "gp").where("g <> head").select(*_pair(F.col("g"), F.col("head")))
     sure = _verified(star.unionByName(inner).distinct(), rows, classes)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, packing
+from . import decontaminate, exact_dedup, ngram_join, packing, toxicity
 from .common import table
 
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -28,11 +29,22 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def learning_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from: rows whose crc32(doc_id as text) mod 3 is not 1."""
+    return table(spark, sf_dir, "labels").where("crc32(cast(doc_id as string)) % 3 <> 1")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.train(docs, learning_labels(spark, sf_dir)))
+    return scores.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 3 = 1").alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("xh")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op4_ngram_join": op4_ngram_join, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op4_ngram_join": op4_ngram_join, "op8_toxicity": op8_toxicity, "op9_exact_dedup": op9_exact_dedup}
 
 SQL = {
     "op1_decontamination": f"""
