@@ -208,7 +208,7 @@ def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[li
     def sure(t: int, c: int) -> bool:
         q = t / (t + c)
         gain = t * math.log(q / rate) + (c * math.log((1 - q) / (1 - rate)) if c else 0)
-        return t / toxic >= 25 * (c + 0.5) / (clean + 1) and gain >= chance
+        return t / toxic >= 60 * (c + 0.1) / (clean + 1) and gain >= chance
 
     known = {f: t for f, t, c in rows if sure(t, c)}
     stems: dict[str, int] = {}
