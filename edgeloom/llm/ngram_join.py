@@ -7,10 +7,13 @@
    only groups enter the index: (shingle, group, size, position).
 3. Every posting list links its groups to a hub of fitting size, and each group keeps the hubs it shares most lists with;
    members of a group link to its first member. These star pairs are verified on the whole sets and give first components.
-4. Pairs inside one component need no verification any more. All others that share a prefix shingle and pass the size and
-   position filters are expanded to members and verified. In a list, only rows outside its largest component are joined
-   with the list, so a component of many near copies does not make the square of its size.
-5. Components of all verified pairs, labelled by the smallest doc_id.
+4. Pairs inside one component need no verification any more. While the lists still hold many pairs of different components,
+   each class is verified against a few neighbours of other components, in an order drawn anew each round, and components
+   are joined; a dense group of near copies falls together in a few rounds of linear size.
+5. All pairs of different components that share a prefix shingle and pass the filters (size, position, 256 parity bits of the whole set) are
+   verified. In a list, only rows outside its largest component are joined with the list, so a component of many near copies does not
+   make the square of its size. Members of one group count as sharing a list of their own.
+6. Components of all verified pairs, labelled by the smallest doc_id.
 
 Every pair of different sets with similarity >= 0.8 is either verified or already connected, so components are exact.
 
@@ -27,10 +30,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import discard, fresh, materialize, ship, written
 from .components import components
 
 WORDS = 5
@@ -39,7 +42,11 @@ NUM, DEN = 4, 5
 COUNT_BITS = 20  # counters of the frequency table: 4 MiB, whatever the input
 SEGMENT = 4 << 20
 SALTS = 16
-HUBS = 3  # of each group, by the number of lists they share; all other pairs wait for step 4
+HUBS = 3  # of each group, by the number of lists they share; all other pairs wait for steps 4 and 5
+TURNS = 2  # rounds of step 4 at most; what they leave goes to step 5, whatever its size
+PAIRS_PER_ROW = 4  # step 4 ends when the pairs left to step 5 are at most so many times the rows of the open lists
+WINDOW = 256
+EARLIER = 4
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -121,6 +128,13 @@ def _batch(rows: list, kinds: list, names: list):
 
 _L, _I, _B = pa.int64(), pa.int32(), pa.binary()
 SLICE = 1 << 14
+SIGNS = ["q0", "q1", "q2", "q3"]  # 256 parity bits of a set
+
+
+def signs(s: np.ndarray) -> list[int]:
+    """How many shingles fall into each of 256 places, modulo 2. Two sets differ in at least as many shingles as bits."""
+    odd = (np.bincount((s & _U(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def _classes(batches):
@@ -160,7 +174,7 @@ def _postings(table):
 
     def run(batches):
         counts, seen, groups = table.value, set(), set()
-        names, kinds = ["token", "gp", "n", "pos", "g"], [_L, _L, _I, _I, _L]
+        names, kinds = ["token", "gp", "n", "pos", "g", *SIGNS], [_L, _L, _I, _I, _L, *[_L] * len(SIGNS)]
         for batch in batches:
             parts = []
             for text in batch.column("text").cast(_B):
@@ -172,14 +186,14 @@ def _postings(table):
                 rank = counts[(s >> _U(64 - COUNT_BITS)).astype(np.int64)]
                 prefix = s[np.lexsort((s, rank))[:p]]
                 gp = set_hash(np.concatenate((prefix, [_U(n)])))[0]
-                parts.append((None, gp, n, None, g))
+                parts.append((None, gp, n, None, g, *signs(s)))
                 if gp not in groups:
                     groups.add(gp)
                     parts.append((prefix.view(np.int64), gp, n, np.arange(p, dtype=np.int32), None))
             index = [x for x in parts if x[0] is not None]
             sizes = [len(x[0]) for x in index]
             if index:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in index])), pa.array(np.repeat(np.array([x[1] for x in index], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in index], np.int32), sizes)), pa.array(np.concatenate([x[3] for x in index])), pa.nulls(sum(sizes), _L)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in index])), pa.array(np.repeat(np.array([x[1] for x in index], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in index], np.int32), sizes)), pa.array(np.concatenate([x[3] for x in index])), *[pa.nulls(sum(sizes), _L)] * (1 + len(SIGNS))], names)
             yield _batch([x for x in parts if x[0] is None], kinds, names)
 
     return run
@@ -252,20 +266,64 @@ def _verify(batches):
 
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are similar."""
-    pairs = materialize(pairs, "candidates")
+    spark, scratch_paths = pairs.sparkSession, [fresh(pairs.sparkSession, "candidates"), fresh(pairs.sparkSession, "sets")]
+    pairs = written(pairs, scratch_paths[0])
     wanted = pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct()
     chosen = wanted.join(classes, "g").select(F.col("rep").alias("doc_id"), F.col("rep_xh").alias("xh"))
     texts = rows.join(chosen, (rows["doc_id"].eqNullSafe(chosen["doc_id"])) & (rows["xh"] == chosen["xh"])).select(rows["text"])
-    sets = materialize(texts.mapInArrow(_sets, "g long, body binary").dropDuplicates(["g"]), "sets")
+    sets = written(texts.mapInArrow(_sets, "g long, body binary").dropDuplicates(["g"]), scratch_paths[1])
     right = pairs.join(sets.select(F.col("g").alias("b"), F.col("body").alias("right")), "b")
     both = right.join(sets.select(F.col("g").alias("a"), F.col("body").alias("left")), "a")
-    return materialize(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"), "similar")
+    found = materialize(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"), "similar")
+    for path in scratch_paths:  # what came of them is written
+        discard(spark, path)
+    return found
 
 
 def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _can_be_similar(x, y):
+    """The filters by size, position and parity bits on two rows of one list. All hold for every pair that is similar enough."""
+    n1, n2, p1, p2 = (t[c] for c in ("n", "pos") for t in (x, y))
+    apart = sum((F.bit_count(x[q].bitwiseXOR(y[q])) for q in SIGNS), F.lit(0))
+    most = n1 + n2 - 2 * F.ceil(NUM * (n1 + n2) / (DEN + NUM))  # shingles that are in one set only
+    return (DEN * F.least(n1, n2) >= NUM * F.greatest(n1, n2)) & ((DEN + NUM) * F.least(n1 - p1, n2 - p2) >= NUM * (n1 + n2)) & (apart <= most)
+
+
+def _edges(comp: DataFrame) -> DataFrame:
+    return comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _open_lists(entries: DataFrame, comp: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists that hold two components or more: token, g, n, pos, its component c, whether that is the list's largest,
+    and the list's length k, the class's parity bits and its open lists just before this one in the order of shingles."""
+    placed = entries.select("token", "g", "n", "pos").join(comp.select(F.col("node").alias("g"), "root"), "g", "left").select("token", "g", "n", "pos", F.coalesce("root", "g").alias("c"))
+    placed = materialize(placed, "placed")
+    sizes = placed.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1").selectExpr("token", "top.c as top", "k")
+    marked = placed.join(largest, "token").withColumn("in_top", F.col("c") == F.col("top")).drop("top")
+    earlier = Window.partitionBy("g").orderBy("pos", "token")
+    marked = marked.join(groups.select("g", *SIGNS), "g").withColumn("earlier", F.array(*[F.lag("token", i).over(earlier) for i in range(1, EARLIER + 1)]))
+    return materialize(marked, "open-lists")
+
+
+def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
+    """For each class the three pairs that meet most often when every list is put in one order drawn for this turn and
+    rows are paired with those of the four before them that pass the filters. Long lists are cut by a hash of the class, so no task holds a whole one."""
+    order = F.xxhash64("g", F.lit(turn))
+    part = F.pmod(F.xxhash64("g", F.lit(turn), F.lit("part")), F.ceil(F.col("k") / WINDOW)).alias("part")
+    w = Window.partitionBy("token", "part").orderBy("order", "g")
+    row = F.struct("g", "n", "pos", "c", *SIGNS)
+    near = lists.select("token", part, order.alias("order"), "g", row.alias("x")).withColumn("before", F.array(*[F.lag("x", i).over(w) for i in range(1, 5)]))
+    fitting = F.filter("before", lambda y: (y["c"] != F.col("x")["c"]) & _can_be_similar(F.col("x"), y))
+    met = near.select("x", F.explode(fitting).alias("y")).select(*_pair(F.col("x.g"), F.col("y.g"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    ends = met.select(F.explode(F.array("a", "b")).alias("g"), "a", "b", "k")
+    best = ends.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "a", "b")), asc=False).alias("all"))
+    return best.select(F.explode(F.slice("all", 1, HUBS)).alias("p")).select("p.a", "p.b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, xh, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -283,9 +341,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint64)
     table = spark.sparkContext.broadcast(counts)
 
-    made = rows.select("text").mapInArrow(_postings(table), "token long, gp long, n int, pos int, g long")
+    made = rows.select("text").mapInArrow(_postings(table), "token long, gp long, n int, pos int, g long, " + ", ".join(f"{q} long" for q in SIGNS))
     made = materialize(made, "postings")
-    groups = materialize(made.where("token is null").select("gp", "g", "n").distinct(), "groups")
+    groups = materialize(made.where("token is null").select("gp", "g", "n", *SIGNS).distinct(), "groups")
     index = made.where("token is not null").select("token", "gp", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "gp")
     lists = materialize(index.mapInArrow(_lists, "token long, gp long, n int, pos int, hub long"), "lists")
 
@@ -297,18 +355,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sure = _verified(star.unionByName(inner).distinct(), rows, classes)
     comp = materialize(components(sure), "first-components")
 
-    placed = groups.join(comp.withColumnRenamed("node", "g"), "g", "left").select("gp", "g", F.coalesce("root", "g").alias("c"))
-    entries = materialize(lists.where("hub is null").select("token", "gp", "n", "pos").distinct().join(placed, "gp").select("token", "g", "n", "pos", "c"), "entries")
-    sizes = entries.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").selectExpr("token", "top.c as top")
-    marked = materialize(entries.join(largest, "token").withColumn("in_top", F.col("c") == F.col("top")), "open-lists")
-    x, y = marked.where("not in_top").alias("x"), marked.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    fits = (DEN * small >= NUM * large) & ((DEN + NUM) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= NUM * (F.col("x.n") + F.col("y.n")))
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.in_top") | (F.col("x.g") < F.col("y.g"))) & fits)
-    within = groups.select("gp", "g").join(placed.select("gp", F.col("g").alias("h"), "c"), "gp").where("g < h").join(comp.select(F.col("node").alias("g"), F.col("root").alias("gc")), "g", "left").where("coalesce(gc, g) <> c").select(*_pair(F.col("g"), F.col("h")))
-    rest = _verified(cross.select(*_pair(F.col("x.g"), F.col("y.g"))).unionByName(within).distinct(), rows, classes)
-    comp = components(sure.unionByName(rest))
+    entries = lists.where("hub is null").select("token", "gp", "n", "pos").distinct().join(groups.select("gp", "g"), "gp").select("token", "g", "n", "pos")
+    crowd = groups.join(groups.groupBy("gp").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "gp")
+    entries = entries.unionByName(crowd.select(F.col("gp").alias("token"), "g", "n", F.lit(0).alias("pos")))
+    lists_left = materialize(entries, "entries")
+    tried = None
+    for turn in range(TURNS + 1):
+        lists_left = _open_lists(lists_left, comp, groups)
+        size = lists_left.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(~F.col("in_top"), F.col("k"))).alias("pairs")).first()
+        if turn == TURNS or (size["pairs"] or 0) <= PAIRS_PER_ROW * size["rows"]:
+            break
+        pairs = _neighbours(lists_left, turn)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "neighbours")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = _verified(pairs, rows, classes)
+        comp = materialize(components(_edges(comp).unionByName(more)), "more-components")
+    x, y = lists_left.where("not in_top").alias("x"), lists_left.alias("y")
+    (left_row, right_row) = ({c: F.col(f"{t}.{c}") for c in ("n", "pos", *SIGNS)} for t in ("x", "y"))
+    unseen = ~F.coalesce(F.arrays_overlap("x.earlier", "y.earlier"), F.lit(False))  # the pair's first list, where the filters hold too, never drops it
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.in_top") | (F.col("x.g") < F.col("y.g"))) & _can_be_similar(left_row, right_row) & unseen)
+    left = cross.select(*_pair(F.col("x.g"), F.col("y.g"))).distinct()
+    rest = _verified(left if tried is None else left.join(tried, ["a", "b"], "left_anti"), rows, classes)
+    comp = components(_edges(comp).unionByName(rest))
 
     roots = comp.select(F.col("node").alias("g"), "root")
     joined = classes.join(roots, "g", "left").where("c > 1 or root is not null").select("g", F.coalesce("root", "g").alias("root"), "least")
