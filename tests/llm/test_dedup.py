@@ -181,3 +181,16 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     want = {x: find(x) for e in edges for x in e if e[0] != e[1]}
     assert {r["node"]: r["root"] for r in components.components(frame(spark, edges, "a long, b long")).collect()} == want
+
+
+def test_parity_bits_bound_the_difference_of_sets():
+    import numpy as np
+
+    from edgeloom.llm.ngram_join import signs
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    for _ in range(200):
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        bits = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(signs(x), signs(y), strict=True))
+        assert bits <= len(np.setxor1d(x, y))
