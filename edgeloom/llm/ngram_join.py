@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, fresh, materialize, ship, written
-from .components import components
+from .components import components, stars
 
 WORDS = 5
 #: similarity >= 4/5
@@ -342,10 +342,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = spark.sparkContext.broadcast(counts)
 
     made = rows.select("text").mapInArrow(_postings(table), "token long, gp long, n int, pos int, g long, " + ", ".join(f"{q} long" for q in SIGNS))
-    made = materialize(made, "postings")
+    postings = fresh(spark, "postings")
+    made = written(made, postings)
     groups = materialize(made.where("token is null").select("gp", "g", "n", *SIGNS).distinct(), "groups")
     index = made.where("token is not null").select("token", "gp", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "gp")
     lists = materialize(index.mapInArrow(_lists, "token long, gp long, n int, pos int, hub long"), "lists")
+    discard(spark, postings)  # the groups and the lists are written
 
     heads = groups.groupBy("gp").agg(F.min("g").alias("head"))
     links = lists.where("hub is not null").groupBy("gp", "hub").agg(F.sum("n").alias("k")).groupBy("gp").agg(F.sort_array(F.collect_list(F.struct("k", "hub")), asc=False).alias("hubs"))
@@ -353,7 +355,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = links.join(heads, "gp").select(F.col("head").alias("x"), F.col("hub").alias("gp")).join(heads, "gp").select(*_pair(F.col("x"), F.col("head")))
     inner = groups.join(heads, "gp").where("g <> head").select(*_pair(F.col("g"), F.col("head")))
     sure = _verified(star.unionByName(inner).distinct(), rows, classes)
-    comp = materialize(components(sure), "first-components")
+    comp = stars(sure)
 
     entries = lists.where("hub is null").select("token", "gp", "n", "pos").distinct().join(groups.select("gp", "g"), "gp").select("token", "g", "n", "pos")
     crowd = groups.join(groups.groupBy("gp").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "gp")
@@ -369,7 +371,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "neighbours")
         tried = pairs if tried is None else tried.unionByName(pairs)
         more = _verified(pairs, rows, classes)
-        comp = materialize(components(_edges(comp).unionByName(more)), "more-components")
+        comp = stars(_edges(comp).unionByName(more))
     x, y = lists_left.where("not in_top").alias("x"), lists_left.alias("y")
     (left_row, right_row) = ({c: F.col(f"{t}.{c}") for c in ("n", "pos", *SIGNS)} for t in ("x", "y"))
     unseen = ~F.coalesce(F.arrays_overlap("x.earlier", "y.earlier"), F.lit(False))  # the pair's first list, where the filters hold too, never drops it
