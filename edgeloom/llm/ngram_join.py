@@ -44,6 +44,7 @@ SEGMENT = 4 << 20
 SALTS = 16
 HUBS = 3  # of each group, by the number of lists they share; all other pairs wait for steps 4 and 5
 TURNS = 2  # rounds of step 4 at most; what they leave goes to step 5, whatever its size
+MARK_BITS = 26  # of the table that marks the rows to verify: 8 MiB
 PAIRS_PER_ROW = 4  # step 4 ends when the pairs left to step 5 are at most so many times the rows of the open lists
 WINDOW = 256
 EARLIER = 4
@@ -241,14 +242,37 @@ def _lists(batches):
     yield _batch([(None, gp, k, None, hub) for (hub, gp), k in linked.items()], kinds, names)
 
 
-def _sets(batches):
-    for batch in batches:
-        rows = []
-        for text in batch.column("text").cast(_B):
-            s = shingles(text.as_py())
-            if len(s):
-                rows.append((set_hash(s)[0], s.tobytes()))
-        yield _batch(rows, [_L, _B], ["g", "body"])
+def _sets(marks):
+    """The sets of rows whose mark is set."""
+
+    def run(batches):
+        words = marks.value
+        for batch in batches:
+            at = batch.column("mark").to_numpy()
+            wanted = (words[at >> 6] >> (at & 63)) & 1
+            rows = []
+            for text in batch.column("text").filter(pa.array(wanted.astype(bool))).cast(_B):
+                s = shingles(text.as_py())
+                if len(s):
+                    rows.append((set_hash(s)[0], s.tobytes()))
+            yield _batch(rows, [_L, _B], ["g", "body"])
+
+    return run
+
+
+def _mark(doc_id, xh):
+    return F.shiftrightunsigned(F.xxhash64(doc_id, xh), 64 - MARK_BITS)
+
+
+def _marks(chosen: DataFrame):
+    """A bit for each row of chosen (doc_id, xh), in a broadcast table of 2 ** MARK_BITS bits whatever their number.
+
+    It lets all chosen rows pass and few others, so the texts need no shuffle; what passes needlessly finds no pair."""
+    mark = chosen.select(_mark("doc_id", "xh").alias("mark")).select(F.shiftright("mark", 6).alias("word"), F.expr("shiftleft(1L, cast(mark & 63 as int))").alias("bit"))
+    found = mark.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return chosen.sparkSession.sparkContext.broadcast(words)
 
 
 def similar(left: np.ndarray, right: np.ndarray) -> bool:
@@ -269,9 +293,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFram
     spark, scratch_paths = pairs.sparkSession, [fresh(pairs.sparkSession, "candidates"), fresh(pairs.sparkSession, "sets")]
     pairs = written(pairs, scratch_paths[0])
     wanted = pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct()
-    chosen = wanted.join(classes, "g").select(F.col("rep").alias("doc_id"), F.col("rep_xh").alias("xh"))
-    texts = rows.join(chosen, (rows["doc_id"].eqNullSafe(chosen["doc_id"])) & (rows["xh"] == chosen["xh"])).select(rows["text"])
-    sets = written(texts.mapInArrow(_sets, "g long, body binary").dropDuplicates(["g"]), scratch_paths[1])
+    marks = _marks(wanted.join(classes, "g").select(F.col("rep").alias("doc_id"), F.col("rep_xh").alias("xh")))
+    found = rows.select("text", _mark("doc_id", "xh").alias("mark")).mapInArrow(_sets(marks), "g long, body binary")
+    sets = written(found.dropDuplicates(["g"]), scratch_paths[1])
     right = pairs.join(sets.select(F.col("g").alias("b"), F.col("body").alias("right")), "b")
     both = right.join(sets.select(F.col("g").alias("a"), F.col("body").alias("left")), "a")
     found = materialize(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"), "similar")
