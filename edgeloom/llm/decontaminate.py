@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize, ship
 
@@ -214,7 +215,7 @@ def _marks(automaton):
 
 
 def _merge(share: int):
-    """Rows of docs with the marks that several automata left on them."""
+    """Rows of docs with the marks that several automata left on them; a column named row goes through as it is."""
 
     def run(batches):
         for batch in batches:
@@ -229,7 +230,10 @@ def _merge(share: int):
                 rows.append((doc, found, hits, len(items), _digest(items), _verdict(found, hits, share), cut(text.encode(), gone).decode() if gone else text))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.string()]
             columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*(x.split()[0] for x in _SCHEMA.split(", ")), "text"])
+            arrays, names = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*(x.split()[0] for x in _SCHEMA.split(", ")), "text"]
+            if "row" in batch.schema.names:
+                arrays, names = [*arrays, batch.column("row")], [*names, "row"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
@@ -248,15 +252,20 @@ def automata(benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_
     yield sc.broadcast(Automaton(part, window))
 
 
-def _merged(docs: DataFrame, parts: list, share: int, item_marks: bool = True) -> DataFrame:
+def _merged(docs: DataFrame, parts: list, share: int, rest: list[str] | None = None) -> DataFrame:
+    """One verdict per row of docs, with its cut text, and with these columns of its own as a struct named row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("xh"))
     marks = None
     for part in parts:
         made = rows.mapInArrow(_marks(part), _MARKS)
         marks = made if marks is None else marks.unionByName(made)
     marks = materialize(marks.dropDuplicates(), "marks").groupBy(F.col("doc_id").alias("d"), F.col("xh").alias("x")).agg(F.collect_list("begins").alias("begins"), F.collect_list("ends").alias("ends"), F.collect_list("items").alias("items"))
+    schema, own = StructType.fromDDL(_SCHEMA + ", text string"), []
+    if rest is not None:
+        schema, own = schema.add("row", StructType([docs.schema[c] for c in rest])), ["row"]
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("xh"), F.struct(*rest).alias("row"))
     joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x")), "left")
-    return joined.select("doc_id", "text", "begins", "ends", "items").mapInArrow(_merge(share), _SCHEMA + ", text string")
+    return joined.select("doc_id", "text", "begins", "ends", "items", *own).mapInArrow(_merge(share), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -274,8 +283,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     parts = list(automata(benchmark, window, item_bytes))
     if len(parts) > 1:
         rest = [c for c in docs.columns if c != "text"]
-        verdict = _merged(docs, parts, share).where("not contaminated").select(F.col("doc_id").alias("_d"), F.col("text").alias("_text")).dropDuplicates(["_d"])
-        out = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_d"))).select(*rest, F.col("_text").alias("text")).select(*docs.columns)
+        out = _merged(docs, parts, share, rest).where("not contaminated").select(*("text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
     else:
         out = docs.mapInArrow(_single(parts[0], share, docs.columns), docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

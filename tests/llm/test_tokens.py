@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from edgeloom.llm import decontaminate, packing
 from edgeloom.llm.queries import byte_bpe
@@ -130,6 +131,22 @@ def test_decontaminate_cuts_and_drops(spark):
     assert none.where("contaminated").count() == 0 and none.count() == 4
 
 
+def test_decontaminate_by_several_automata_keeps_each_row(spark):
+    """Rows with null or repeated ids each keep their own text and verdict, whatever the number of automata."""
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    long = "word " * 400
+    docs = [(None, item, 1), (None, "clean a", 2), (None, "clean b", 3), (7, item, 4), (7, "clean c", 5), (7, long + item + ". end", 6), (8, "same", 7), (8, "same", 8), (None, None, 9), (None, long + item, 10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row long").withColumn("items", F.col("row"))
+    bench = spark.createDataFrame([(i, f"{item} {i}" if i else item) for i in range(4)], "item_id long, text string")
+    assert len(list(decontaminate.automata(bench, item_bytes=40))) > 1
+    want = {2: (None, "clean a"), 3: (None, "clean b"), 5: (7, "clean c"), 6: (7, long + ". end"), 7: (8, "same"), 8: (8, "same"), 9: (None, None), 10: (None, long)}
+    for limit in (1 << 20, 40):
+        out = decontaminate.decontaminate(df, bench, item_bytes=limit)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert len(rows) == len(want) and {r["row"]: (r["doc_id"], r["text"]) for r in rows} == want and all(r["items"] == r["row"] for r in rows)
+
+
 def test_automaton_is_whole():
     sam = decontaminate.Automaton([(1, b"a b c a b c a b c a b c a b c"), (2, b"b c a")], 13)
     hit, items = __import__("numpy").zeros(3, bool), set()
