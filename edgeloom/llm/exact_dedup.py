@@ -13,6 +13,7 @@ columns are ignored, whatever their names. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,8 @@ def combine(left, right, right_length: int) -> list[int]:
     return [(a * pow(b, right_length, p) + c) % p for a, c, b, p in zip(left, right, BASES, PRIMES, strict=True)]
 
 
-_SCAN = "doc_id long, xh long, pts long, sha string, n long, whole boolean, seq int, h1 long, h2 long, h3 long, h4 long, s1 long, s2 long, s3 long, s4 long, body binary"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("xh", pa.int64()), ("pts", pa.int64()), ("sha", pa.string()), ("n", pa.int64()), ("whole", pa.bool_()), ("seq", pa.int32()), *((f"{c}{i}", pa.int64()) for c in "hs" for i in range(1, 5)), ("body", pa.binary())])
+_SCAN = "row long, doc_id long, xh long, pts long, sha string, n long, whole boolean, seq int, h1 long, h2 long, h3 long, h4 long, s1 long, s2 long, s3 long, s4 long, body binary"
+_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("xh", pa.int64()), ("pts", pa.int64()), ("sha", pa.string()), ("n", pa.int64()), ("whole", pa.bool_()), ("seq", pa.int32()), *((f"{c}{i}", pa.int64()) for c in "hs" for i in range(1, 5)), ("body", pa.binary())])
 
 
 def _texts(batch):
@@ -77,13 +78,18 @@ def _texts(batch):
 
 
 def _scan(batches):
+    """Each row gets a number of its own, by task and place; it is written with the row's pieces."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    number = itertools.count(task.partitionId() << 33 if task else 0)
     for batch in batches:
         rows = []
         for doc, xh, raw in zip(batch.column("doc_id").to_pylist(), batch.column("xh").to_pylist(), _texts(batch), strict=True):
             raw = raw or b""
             norm = raw.translate(None, WHITE)
             points = len(raw) - int(np.count_nonzero((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80))
-            head = (doc, xh, points, hashlib.sha256(norm).hexdigest(), len(norm))
+            head = (next(number), doc, xh, points, hashlib.sha256(norm).hexdigest(), len(norm))
             if len(norm) <= HUGE_BYTES:
                 rows.append((*head, True, 0, *fingerprint(norm), 1, 1, 1, 1, None))
                 continue
@@ -111,9 +117,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keys = ["doc_id", "xh", "pts", "sha", "n"]
     packed = lambda a, b: F.shiftleft(F.col(a), 31).bitwiseOR(F.col(b))
     whole = scanned.where("whole").select(*keys, packed("h1", "h2").alias("hi"), packed("h3", "h4").alias("lo"))
-    pieces = scanned.where("not whole").repartition(F.xxhash64("doc_id", "seq")).mapInArrow(_hash_pieces, _SCAN)
-    pieces = pieces.dropDuplicates(["doc_id", "xh", "seq"])
-    summed = pieces.groupBy(*keys).agg(*(F.pmod(F.sum(F.pmod(F.col(f"h{i}") * F.col(f"s{i}"), F.lit(p))), F.lit(p)).alias(f"h{i}") for i, p in enumerate(PRIMES, 1)))
+    pieces = scanned.where("not whole").repartition(F.xxhash64("row", "seq")).mapInArrow(_hash_pieces, _SCAN)
+    summed = pieces.groupBy("row", *keys).agg(*(F.pmod(F.sum(F.pmod(F.col(f"h{i}") * F.col(f"s{i}"), F.lit(p))), F.lit(p)).alias(f"h{i}") for i, p in enumerate(PRIMES, 1)))
     return whole.unionByName(summed.select(*keys, packed("h1", "h2").alias("hi"), packed("h3", "h4").alias("lo")))
 
 

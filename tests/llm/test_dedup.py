@@ -76,6 +76,14 @@ def test_huge_texts_are_hashed_in_pieces(spark, monkeypatch):
         assert (h[0] << 31 | h[1], h[2] << 31 | h[3]) == whole[doc][:2]
 
 
+def test_repeated_huge_rows_all_stay(spark):
+    """Rows beyond HUGE_BYTES with one doc_id, or none, and one text are rows of their own."""
+    half = exact_dedup.HUGE_BYTES // 2 + 7
+    rows = [(1, "ab", half), (1, "ab", half), (None, "ab", half), (None, "ab", half), (2, "a b", half), (3, "ac", half), (None, "ac", half), (4, "ab", 1), (4, "ab", 1)]
+    docs = frame(spark, rows, "doc_id long, unit string, n int").selectExpr("doc_id", "repeat(unit, n) AS text").repartition(3)
+    assert got(exact_dedup.exact_dedup(docs)) == brute_dedup([(d, t * n) for d, t, n in rows])
+
+
 def test_equal_fingerprints_are_compared(spark, monkeypatch):
     """With one fingerprint for all, only the comparison tells texts apart."""
     import pyspark.sql.functions as F
