@@ -7,12 +7,14 @@ and prose; words, numbers, paths, hashes of versions and identifiers as negative
 findings: the highest that keeps the demanded recall, and never below MOST_DOUBT. Base spans stay whatever it says.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results; doc_id may be null; an empty table gives
-no rows. Extra columns are ignored. Runs longer than LONGEST characters are judged by their first and last parts.
+no rows. Extra columns are ignored. A run longer than LONGEST characters is read whole, by overlapping windows and by its parts
+between slashes and equals signs, each in the run's context; its score is the highest of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -27,6 +29,8 @@ KINDS = ("assign", "access", "hex")
 RECALL = 0.9
 MOST_DOUBT = 0.9
 WIDTH, LONGEST, BEFORE, AFTER = 96, 56, 32, 8
+STEP = 16  # between the windows of a long run: a key of up to LONGEST - STEP characters stands whole in one of them
+CHUNK = 4096  # windows that are scored at once, so that a text of any length takes bounded memory
 FINDINGS = 6000  # labelled findings the network is trained on: a bound, not a share of the input
 
 #: The base rules.
@@ -35,6 +39,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Any key-like run; what is shorter is no candidate.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: The parts of a long run that are candidates of their own.
+PART = re.compile(r"[A-Za-z0-9+_-]{20,}")
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \"'=:_-+/.,;(){}[]<>@#\n"
 _CODE = np.full(65536, len(_ALPHABET) + 1, np.uint8)
@@ -61,6 +67,18 @@ def window(text: str, start: int, end: int) -> str:
     return text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + body.ljust(LONGEST, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
 
 
+def windows_of(text: str, start: int, end: int):
+    """All windows of a candidate: one, or, if it is long, its ends, its overlapping slices and its parts, each in its context."""
+    yield window(text, start, end)
+    if end - start > LONGEST:
+        before, after = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0"), text[end : end + AFTER].ljust(AFTER, "\0")
+        for at in (*range(start, end - LONGEST, STEP), end - LONGEST):
+            yield before + text[at : at + LONGEST] + after
+        for m in PART.finditer(text, start, end):
+            if m.end() - m.start() <= LONGEST:
+                yield before + m[0].ljust(LONGEST, "\0") + after
+
+
 def encode(windows: list[str]) -> np.ndarray:
     raw = np.frombuffer("".join(windows).encode("utf-32-le"), np.uint32).reshape(len(windows), WIDTH)
     return _CODE[np.minimum(raw, 65535)].astype(np.int64)
@@ -180,16 +198,28 @@ def added_kind(body: str) -> int:
 _SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long"
 
 
+def _highest(net: Network, windows) -> list[float]:
+    """The highest score of each candidate, from (candidate, window) pairs in the order of candidates."""
+    best: list[float] = []
+    while part := list(itertools.islice(windows, CHUNK)):
+        for (k, _), p in zip(part, net.predict(encode([w for _, w in part])).tolist(), strict=True):
+            if k == len(best):
+                best.append(p)
+            best[k] = max(best[k], p)
+    return best
+
+
 def _scan(network):
     def run(batches):
         net = network.value
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
         for batch in batches:
-            rows, open_, windows = [], [], []
+            rows, texts, open_ = [], [], []
             for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
                 text = text.as_py() or ""
                 base = base_spans(text)
                 rows.append((doc, base))
+                texts.append(text)
                 ends = iter(base)
                 near = next(ends, None)
                 for m in TOKEN.finditer(text):
@@ -197,9 +227,9 @@ def _scan(network):
                         near = next(ends, None)
                     if not near or near[0] >= m.end():
                         open_.append((i, m.start(), m.end(), added_kind(m[0])))
-                        windows.append(window(text, m.start(), m.end()))
+            scores = _highest(net, ((k, w) for k, (i, a, b, _) in enumerate(open_) for w in windows_of(texts[i], a, b)))
             extra: dict[int, list] = {}
-            for (i, a, b, kind), p in zip(open_, net.predict(encode(windows)) if windows else (), strict=True):
+            for (i, a, b, kind), p in zip(open_, scores, strict=True):
                 if p >= net.threshold:
                     extra.setdefault(i, []).append((a, kind, b))
             out = []

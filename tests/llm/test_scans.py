@@ -93,6 +93,22 @@ def test_secrets(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+def test_key_amid_a_long_run(spark):
+    """A key is found wherever it stands in a run of many times the network's width; the same run without it is not."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    path, rows, keyed = "/the/heit/stand/ver/lander/ungen/ment/thing/inner/ver", [], set()
+    for lead, tail in ((path * 2, path * 2), ("=" * 120, "=" * 150), ("-" * 97, "-" * 61), (path, path * 3)):
+        for key in ["", *("".join(rng.choice(letters) for _ in range(40)) for _ in range(6))]:
+            if key:
+                keyed.add(len(rows))
+            rows.append((len(rows), f"the ver heit an {lead}/{key}/{tail} und the stand" if "/" in lead else f"the ver heit an {lead}{key}{tail} und the stand"))
+    got = {r["doc_id"]: (r["n_added"], r["spans"]) for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    found = {i for i, (n, _) in got.items() if n}
+    assert found <= keyed, [rows[i] for i in found - keyed]
+    assert len(found) >= 0.9 * len(keyed), (len(found), len(keyed))
+
+
 def test_network_on_held_out_findings():
     net = secrets.train()
     windows, labels = secrets.findings(1500, seed=99)
