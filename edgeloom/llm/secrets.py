@@ -4,7 +4,7 @@ Regular expressions propose candidates: the base rules, and any long run of key-
 surrounding context goes through a small character network (embedding, one convolution, maximum over positions, logistic
 output). It is trained here, on labelled findings made by a seeded generator (keys and tokens of many shapes in assignments
 and prose; words, numbers, paths, hashes of versions and identifiers as negatives), and its threshold is calibrated on held-out
-findings: the highest that keeps the demanded recall, and never below MOST_DOUBT. Base spans stay whatever it says.
+findings: the highest that keeps the demanded recall. Base spans stay whatever it says.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results; doc_id may be null; an empty table gives
 no rows. Extra columns are ignored. A run longer than LONGEST characters is read whole, by overlapping windows and by its parts
@@ -27,7 +27,7 @@ from .common import ship
 
 KINDS = ("assign", "access", "hex")
 RECALL = 0.9
-MOST_DOUBT = 0.9
+UNCALIBRATED = 0.9  # the threshold of a network that saw no held-out secrets
 WIDTH, LONGEST, BEFORE, AFTER = 96, 56, 32, 8
 STEP = 16  # between the windows of a long run: a key of up to LONGEST - STEP characters stands whole in one of them
 CHUNK = 4096  # windows that are scored at once, so that a text of any length takes bounded memory
@@ -98,7 +98,7 @@ class Network:
             "v": rng.normal(0, 0.2, 3 * self.FILTERS).astype(np.float32),
             "c": np.zeros(1, np.float32),
         }
-        self.threshold = MOST_DOUBT
+        self.threshold = UNCALIBRATED
 
     #: The maximum is taken apart over the context before, the candidate and the context after.
     PARTS = ((0, BEFORE - 4), (BEFORE - 4, BEFORE + LONGEST - 4), (BEFORE + LONGEST - 4, WIDTH - 4))
@@ -141,9 +141,9 @@ class Network:
                     self.p[k] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
     def calibrate(self, codes, labels, recall: float = RECALL) -> float:
-        """The highest threshold that keeps the demanded recall on these findings, MOST_DOUBT at least."""
+        """The highest threshold that keeps the demanded recall on these findings."""
         own = np.sort(self.predict(codes)[labels > 0])
-        self.threshold = max(MOST_DOUBT, float(own[int((1 - recall) * len(own))])) if len(own) else MOST_DOUBT
+        self.threshold = float(own[int((1 - recall) * len(own))]) if len(own) else UNCALIBRATED
         return self.threshold
 
 

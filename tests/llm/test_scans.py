@@ -117,6 +117,15 @@ def test_network_on_held_out_findings():
     assert (p[labels == 0] >= net.threshold).mean() <= 0.02
 
 
+def test_threshold_keeps_the_recall():
+    """An untrained network's scores are low; its threshold follows them."""
+    net = secrets.Network(1)
+    windows, labels = secrets.findings(400, seed=3)
+    codes = secrets.encode(windows)
+    net.calibrate(codes, labels)
+    assert net.threshold < 0.9 and (net.predict(codes)[labels > 0] >= net.threshold).mean() >= secrets.RECALL
+
+
 def test_network_gradients():
     net = secrets.Network(1)
     codes = secrets.encode(secrets.findings(8, 3)[0])
