@@ -1,10 +1,11 @@
 """Secret scan with a character convolutional network in numpy.
 
-Regular expressions propose candidates: the base rules, and any long run of key-like characters. Every candidate with its
-surrounding context goes through a small character network (embedding, one convolution, maximum over positions, logistic
-output). It is trained here, on labelled findings made by a seeded generator (keys and tokens of many shapes in assignments
-and prose; words, numbers, paths, hashes of versions and identifiers as negatives), and its threshold is calibrated on held-out
-findings: the highest that keeps the demanded recall. Base spans stay whatever it says.
+Regular expressions propose candidates: the base rules, and any long run of key-like characters. Every run that does not lie
+within a base span goes with its surrounding context through a small character network (embedding, one convolution, maximum
+over positions, logistic output). It is trained here, on labelled findings made by a seeded generator (keys and tokens of many
+shapes in assignments and prose; words, numbers, paths, hashes of versions and identifiers as negatives), and its threshold is
+calibrated on held-out findings: the highest that keeps the demanded recall. Base spans need no score: they stay whatever it
+says, beside a longer run that overlaps them.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results; doc_id may be null; an empty table gives
 no rows. Extra columns are ignored. A run longer than LONGEST characters is read whole, by overlapping windows and by its parts
@@ -220,12 +221,11 @@ def _scan(network):
                 base = base_spans(text)
                 rows.append((doc, base))
                 texts.append(text)
-                ends = iter(base)
-                near = next(ends, None)
+                far, at, reach = sorted((a, b) for a, _, b in base), 0, 0
                 for m in TOKEN.finditer(text):
-                    while near and near[2] <= m.start():
-                        near = next(ends, None)
-                    if not near or near[0] >= m.end():
+                    while at < len(far) and far[at][0] <= m.start():
+                        reach, at = max(reach, far[at][1]), at + 1
+                    if reach < m.end():  # no base span holds the whole run
                         open_.append((i, m.start(), m.end(), added_kind(m[0])))
             scores = _highest(net, ((k, w) for k, (i, a, b, _) in enumerate(open_) for w in windows_of(texts[i], a, b)))
             extra: dict[int, list] = {}

@@ -109,6 +109,16 @@ def test_key_amid_a_long_run(spark):
     assert len(found) >= 0.9 * len(keyed), (len(found), len(keyed))
 
 
+def test_run_beyond_a_base_span(spark):
+    """A longer key is found beside the base span in it; a run within a base span is not told twice."""
+    inner = "0a1b2c3d4e5f6a7b8c9d0e1f"
+    key = "Qx7Zk" + inner + "TRw9LpQ2"
+    rows = [(1, f"the heit an {key} stand"), (2, f'token = "{key}"'), (3, inner * 2)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == "assign:12:49,hex:17:41" and got[3] == "hex:0:48"
+    assert got[2] == "assign:0:46,hex:14:38"
+
+
 def test_network_on_held_out_findings():
     net = secrets.train()
     windows, labels = secrets.findings(1500, seed=99)
