@@ -2,7 +2,7 @@
 
 A text is brought into a canonical form (lower case, copyright lines deleted, punctuation to blanks, equivalent spellings
 made one, white space collapsed) and hashed; a hash join with the digests of known licences identifies it. The same lookup
-runs over whole documents and over each of their lines that mentions a licence, because notices often stand alone in a line.
+runs over whole documents and over each of their lines, because notices often stand alone in a line.
 
 Defined results: null and empty texts have the digest of the empty string and no licence; repeated rows each get their own
 result row; a null doc_id stays null; an empty table gives no rows. Extra columns are ignored.
@@ -77,13 +77,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, text_digest, license (of the whole text, or null), line_licenses (sorted, comma-joined, of its lines)."""
     table = F.broadcast(known(docs.sparkSession))
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike("licen[sc]e|public license|subject to the terms"))
-    digests = F.array_distinct(F.transform(lines, lambda x: F.md5(canonical(x))))
+    digests = F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.md5(canonical(x))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(canonical(F.col("text"))).alias("text_digest"), digests.alias("lines"))
     pairs = {r["digest"]: r["license"] for r in table.collect()}
     names = F.create_map(*(F.lit(x) for pair in sorted(pairs.items()) for x in pair))
     whole = rows.join(table.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    found = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: names[x]), lambda x: x.isNotNull()))), ",")
+    found = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("lines", lambda x: x.isin(list(pairs))), lambda x: names[x]))), ",")
     return whole.select("doc_id", "text_digest", "license", found.alias("line_licenses"))
 
 

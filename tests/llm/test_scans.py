@@ -235,6 +235,13 @@ def test_licenses(spark):
     assert licenses.scan(docs.where("false")).count() == 0
 
 
+def test_every_known_text_is_found_as_a_line(spark):
+    known = [(name, text) for name, texts in licenses.KNOWN.items() for text in texts]
+    docs = spark.createDataFrame([(i, f"some prose\n  {text}\nmore prose") for i, (_, text) in enumerate(known)], DOCS)
+    got = {r["doc_id"]: r["line_licenses"] for r in licenses.scan(docs).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(known)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, small_dir, oracle, rows_of, name):
     assert rows_of(queries.QUERIES[name](spark, small_dir)) == oracle(queries.SQL[name], small_dir)
