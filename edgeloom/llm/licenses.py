@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_digests import FULL
+
 #: Texts of well-known licences and notices, by SPDX name.
 KNOWN = {
     "MIT": [
@@ -70,7 +72,9 @@ def canonical_sql(text: str) -> str:
 def known(spark) -> DataFrame:
     """digest, license: a fixed table, so its broadcast is bounded."""
     rows = [(name, text) for name, texts in KNOWN.items() for text in texts]
-    return spark.createDataFrame(rows, "license string, text string").select(F.md5(canonical(F.col("text"))).alias("digest"), "license").distinct()
+    short = spark.createDataFrame(rows, "license string, text string").select(F.md5(canonical(F.col("text"))).alias("digest"), "license")
+    full = spark.createDataFrame([(digest, name) for name, digests in FULL.items() for digest in digests], "digest string, license string")
+    return short.unionByName(full).distinct()
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import textwrap
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -242,6 +244,28 @@ def test_every_known_text_is_found_as_a_line(spark):
     assert got == {i: name for i, (name, _) in enumerate(known)}
 
 
+def test_whole_licence_files(spark):
+    """Titled files with a copyright line, and real files of this machine, flowed too."""
+    mit = licenses.KNOWN["MIT"][0].replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"]
+    bsd += ["1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."]
+    bsd += ["2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    third = ["3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
+    end = ['THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.']
+    isc = licenses.KNOWN["ISC"][0].replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    made = [("MIT", "MIT License", mit), ("MIT", "The MIT License (MIT)", mit), ("ISC", "ISC License", isc), ("Zlib", "zlib License", licenses.KNOWN["Zlib"][0])]
+    made += [("BSD-2-Clause", "BSD 2-Clause License", "\n\n".join(bsd + end)), ("BSD-3-Clause", "BSD 3-Clause License", "\n\n".join(bsd + third + end))]
+    wrap = lambda body, n: "\n\n".join(textwrap.fill(p, n) for p in body.split("\n\n"))
+    rows = [(name, f"{title}\n\nCopyright (c) 2020 Jane Doe\n\n{wrap(body, n)}\n") for name, title, body in made for n in (70, 78, 10000)]
+    common = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows += [(name, (common / file).read_text()) for file, name in names.items() if (common / file).exists()]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], DOCS)
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()} == {i: name for i, (name, _) in enumerate(rows)}
+    digests = licenses.known(spark).collect()
+    assert len({r["digest"] for r in digests}) == len(digests)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, small_dir, oracle, rows_of, name):
     assert rows_of(queries.QUERIES[name](spark, small_dir)) == oracle(queries.SQL[name], small_dir)
