@@ -26,11 +26,11 @@ def _prefix(depth):
     return F.expr(f"shiftright(h, {BITS} - {depth})") if isinstance(depth, int) else F.expr(f"shiftright(h, {BITS} - {depth})")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, h (60-bit hash), bytes."""
+def keyed(docs: DataFrame, *own) -> DataFrame:
+    """doc_id, h (60-bit hash), bytes, and these columns."""
     text = F.coalesce("text", F.lit(""))
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.encode(text, "UTF-8"))))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"), F.octet_length(text).cast("long").alias("bytes"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"), F.octet_length(text).cast("long").alias("bytes"), *own)
 
 
 def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -61,7 +61,11 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, bytes, depth (local depth of the bucket), prefix (its bits as a number), page (0 unless it cannot split)."""
-    rows = keyed(docs)
+    return _placed(keyed(docs), limit)
+
+
+def _placed(rows: DataFrame, limit: int, *own: str) -> DataFrame:
+    """The shard of each keyed row, which keeps these columns of its own."""
     rows = materialize(rows, "keyed")
     buckets = directory(rows, limit)
     depths = [r["depth"] for r in buckets.select("depth").distinct().collect()]  # 61 values at most
@@ -70,7 +74,7 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     tried = rows.withColumn("depth", F.explode(F.array(*map(F.lit, sorted(depths))))) if len(depths) > 1 else rows.withColumn("depth", F.lit(depths[0] if depths else 0))
     tried = tried.withColumn("prefix", F.expr(f"shiftright(h, cast({BITS} - depth as int))"))
     placed = tried.join(buckets.select("depth", "prefix", "solid"), ["depth", "prefix"])
-    plain = placed.where("not solid").select("doc_id", "bytes", "depth", "prefix", F.lit(0).cast("long").alias("page"))
+    plain = placed.where("not solid").select("doc_id", "bytes", "depth", "prefix", F.lit(0).cast("long").alias("page"), *own)
     out = plain
     if buckets.where("solid").limit(1).count():
         # rows of a bucket that cannot split are equal in length: pages of so many whole rows, counted task by task
@@ -86,11 +90,12 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         within = F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy("row")) - 1
         paged = solid.withColumn("within", within).join(sums, [*keys, "chunk"])
         per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("each", F.lit(1))))
-        out = plain.unionByName(paged.select("doc_id", "bytes", "depth", "prefix", F.floor((F.col("before") + F.col("within")) / per).cast("long").alias("page")))
-    return out.select("doc_id", "bytes", F.col("depth").cast("long").alias("depth"), "prefix", "page")
+        out = plain.unionByName(paged.select("doc_id", "bytes", "depth", "prefix", F.floor((F.col("before") + F.col("within")) / per).cast("long").alias("page"), *own))
+    return out.select("doc_id", "bytes", F.col("depth").cast("long").alias("depth"), "prefix", "page", *own)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Write docs as one folder of Parquet files per shard."""
-    placed = shards(docs, limit).select(F.col("doc_id").alias("_d"), F.concat_ws("-", "depth", "prefix", "page").alias("shard")).dropDuplicates(["_d"])
-    docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d").repartition("shard").write.partitionBy("shard").parquet(path)
+    placed = _placed(keyed(docs, F.struct(*docs.columns).alias("own")), limit, "own")
+    shard = F.concat_ws("-", "depth", "prefix", "page").alias("shard")
+    placed.select("own.*", shard).repartition("shard").write.partitionBy("shard").parquet(path)

@@ -228,6 +228,17 @@ def test_repeated_rows_are_paged(spark):
     assert max(sizes.values()) <= 1000 and sum(sizes.values()) == 5001
 
 
+def test_written_shards_keep_their_limit(spark, tmp_path):
+    """Rows with a null or repeated doc_id are written where shards() placed them."""
+    rows = [(None, f"{i:03d}" + "x" * 97) for i in range(100)] + [(7, f"{i:03d}" + "y" * 97) for i in range(50)] + [(8, "z" * 100)] * 30 + [(9, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("own", F.lit(3))
+    sharding.write_shards(docs, f"file://{tmp_path}/s", 1000)
+    got = spark.read.parquet(f"file://{tmp_path}/s")
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(rows, key=str)
+    assert set(got.columns) == {*docs.columns, "shard"}
+    assert max(r["b"] for r in got.groupBy("shard").agg(F.sum(F.length("text")).alias("b")).collect() if r["b"]) <= 1000
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"][0]
     rows = [(1, "Copyright (c) 2020 Jane Doe\n\n" + mit.upper()), (2, mit.replace(", ", " , ").replace("sublicense", "sub-license")), (3, mit + " And more."), (4, None), (5, "text\nLicensed under CC BY-NC 4.0.\nThis work is LICENCED under the GNU General Public License -- version 2\nend"), (6, "")]
