@@ -82,6 +82,37 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: of the table that marks rows; 2^20 words of 64 bits, whatever the number of rows
+MARK_BITS = 26
+
+
+def among(rows: DataFrame, chosen: DataFrame, flag: str) -> DataFrame:
+    """rows (doc_id, xh, ...) with a boolean column: true for every row whose (doc_id, xh) is in chosen, and for few others.
+
+    chosen must be written. Its rows set bits in a table of at most 2^MARK_BITS, sized by their number, whose words are
+    broadcast (at most 16 MB). So the other rows need no shuffle; beyond some 10^8 chosen rows more and more of them pass.
+    """
+    bits = min(MARK_BITS, max(10, (16 * chosen.count()).bit_length()))
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id", "xh"), 64 - bits)
+    words = chosen.select(mark.alias("_mark")).groupBy(F.shiftright("_mark", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_mark & 63 as int))")).alias("_bits"))
+    joined = rows.withColumn("_mark", mark).withColumn("_word", F.shiftright("_mark", 6)).join(F.broadcast(words), "_word", "left")
+    return joined.withColumn(flag, F.expr("coalesce(shiftrightunsigned(_bits, cast(_mark & 63 as int)) & 1, 0) = 1")).drop("_mark", "_word", "_bits")
+
+
+def without_redundant(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """docs without the rows that verdicts (doc_id, xh, stays) reject; those it keeps stay once, rows it does not name all stay.
+
+    The rows' own columns travel in one struct, so their names clash with nothing."""
+    verdicts = materialize(verdicts.distinct(), "verdicts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("xh"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = among(rows, verdicts, "named")
+    own = rows.where("named").withColumn("at", F.monotonically_increasing_id())
+    told = verdicts.select(F.col("doc_id").alias("d"), F.col("xh").alias("x"), "stays")
+    judged = own.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xh") == F.col("x")), "left").where("stays is null or stays")
+    once = judged.withColumn("at", F.when(F.col("stays").isNull(), F.col("at"))).dropDuplicates(["doc_id", "xh", "at"])
+    return rows.where("not named").select("row.*").unionByName(once.select("row.*"))
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

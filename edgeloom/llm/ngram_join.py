@@ -5,49 +5,54 @@
 2. Shingles are ordered from rare to frequent by those counts, then by hash. Any fixed order is exact; this one keeps
    passages that many documents share out of the prefixes. Classes with identical prefixes and size form one group, and
    only groups enter the index: (shingle, group, size, position).
-3. Every posting list links its groups to a hub of fitting size, and each group keeps the hubs it shares most lists with;
-   members of a group link to its first member. These star pairs are verified on the whole sets and give first components.
-4. Pairs inside one component need no verification any more. While the lists still hold many pairs of different components,
-   each class is verified against a few neighbours of other components, in an order drawn anew each round, and components
-   are joined; a dense group of near copies falls together in a few rounds of linear size.
-5. All pairs of different components that share a prefix shingle and pass the filters (size, position, 256 parity bits of the whole set) are
-   verified. In a list, only rows outside its largest component are joined with the list, so a component of many near copies does not
-   make the square of its size. Members of one group count as sharing a list of their own.
+3. Short lists give all their pairs of groups with the number of shared prefix shingles. Two sets of the wanted overlap
+   share a certain number of them (``_needed``); pairs below it go, the others are expanded to members and verified.
+4. Longer lists, and groups of many members as lists of their own, meet in rounds: each list is dealt into blocks anew,
+   each class is verified against the three classes of other components that look closest by 1024 parity bits, and
+   components are joined. Rounds end when the open pairs are few for the rows left, or a round joined next to nothing.
+5. What is left of those lists gives every pair of different components that passes the filters (size, position, parity bits).
+   Only rows outside a list's largest component meet the list, so a component of many near copies does not make the
+   square of its size. All those pairs are verified.
 6. Components of all verified pairs, labelled by the smallest doc_id.
 
 Every pair of different sets with similarity >= 0.8 is either verified or already connected, so components are exact.
 
 Defined results: no words (null, empty, blank text): n_shingles 0, linked with nothing, component_id is doc_id. Fewer than
 five words: the whole sequence is one shingle. Rows that share a doc_id and text are repeated rows with equal results. A
-null doc_id has the component of its class, null if that class has no id. Sets are told apart by 64-bit hashes; ``classes``
-keeps a second one and stops the run if two sets ever meet in the first.
+null doc_id has the component of its class, null if that class has no id. An empty table gives an empty result. Very long
+texts are hashed in segments. Extra columns are ignored whatever their names, and go through ``keep_one`` as they are.
+Sets that meet in one 64-bit hash are told apart by a second one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialize, ship, written
+from .common import among, discard, fresh, is_empty, materialize, ship, without_redundant, written
 from .components import components, stars
 
 WORDS = 5
 #: similarity >= 4/5
 NUM, DEN = 4, 5
-COUNT_BITS = 20  # counters of the frequency table: 4 MiB, whatever the input
-SEGMENT = 4 << 20
+COUNT_BITS = 20  # counters of the frequency table: 8 MiB, whatever the input
+SEGMENT = 1 << 20
 SALTS = 16
-HUBS = 3  # of each group, by the number of lists they share; all other pairs wait for steps 4 and 5
-TURNS = 2  # rounds of step 4 at most; what they leave goes to step 5, whatever its size
-MARK_BITS = 26  # of the table that marks the rows to verify: 8 MiB
-PAIRS_PER_ROW = 4  # step 4 ends when the pairs left to step 5 are at most so many times the rows of the open lists
-WINDOW = 256
-EARLIER = 4
+SHORT = 16  # groups in a list that gives all its pairs at once
+DEALT = 1 << 16  # excess of a counter over the table's noise at which its shingles skip the sorted lists
+MOST_PAIRS = 1 << 21  # of one task before they are summed up
+NEAREST = 3  # partners that each class is verified against in a round
+BLOCK = 256  # rows that meet in a round
+SIDE = 4096  # rows outside the largest component that meet one copy of their list
+PAIRS_PER_ROW = 4  # open pairs a row that need no further round
+PROGRESS = 0.9  # share of the open pairs that a round must get below to be followed by another
+BITS = 1024  # parity bits of a set
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -74,39 +79,72 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _word_hashes(low: bytes) -> np.ndarray:
+def _word_hashes(low: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and where they begin."""
     data = np.frombuffer(low, np.uint8)
     blank = _BLANK[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
     begin, end = edges[::2], edges[1::2]
     up, down = _powers(len(data) + 1)
     sums = np.concatenate(([_U(0)], np.cumsum(_LETTER[data] * up[: len(data)])))
-    return _mix((sums[end] - sums[begin]) * down[begin])
+    return _mix((sums[end] - sums[begin]) * down[begin]), begin
+
+
+def _windows(words: np.ndarray, width: int) -> np.ndarray:
+    total = words[: len(words) - width + 1] * _PLACE[0]
+    for k in range(1, width):
+        total = total + words[k : len(words) - width + 1 + k] * _PLACE[k]
+    return _mix(total + _U(width))
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h.sort()
+    new = h[1:] != h[:-1]
+    return h if new.all() else h[np.concatenate(([True], new))]
 
 
 def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text in UTF-8."""
-    low = (text or b"").lower()
+    """Sorted distinct shingle hashes of a text in UTF-8, hashed in segments."""
+    low, parts, at = (text or b"").lower(), [np.empty(0, np.uint64)], 0
     with np.errstate(over="ignore"):
-        if len(low) <= SEGMENT:
-            words = _word_hashes(low)
-        else:
-            parts, at = [], 0
-            while at < len(low):
-                end = min(len(low), at + SEGMENT)
-                while end < len(low) and not _BLANK[low[end]]:
-                    end += 1
-                parts.append(_word_hashes(low[at:end]))
-                at = end
-            words = np.concatenate(parts)
-        n = len(words)
-        if not n:
-            return np.empty(0, np.uint64)
-        width = min(n, WORDS)
-        total = words[: n - width + 1] * _PLACE[0]
-        for k in range(1, width):
-            total = total + words[k : n - width + 1 + k] * _PLACE[k]
-        return np.unique(_mix(total + _U(width)))
+        while at < len(low):
+            end = min(len(low), at + SEGMENT)
+            while end < len(low) and not _BLANK[low[end]]:
+                end += 1
+            parts.append(_word_hashes(low[at:end])[0])
+            at = end
+        words = np.concatenate(parts)
+        return _distinct(_windows(words, min(len(words), WORDS))) if len(words) else words
+
+
+def shingle_sets(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+    """``shingles`` of each text; texts are hashed together up to a segment."""
+
+    def several(lows: list[bytes]) -> Iterator[np.ndarray]:
+        if len(lows) == 1:
+            yield shingles(lows[0])
+            return
+        words, begin = _word_hashes(b"\n".join(lows))
+        places = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lows])))
+        edges = np.searchsorted(begin, places).tolist()
+        every = _windows(words, WORDS) if len(words) >= WORDS else words
+        for a, b in itertools.pairwise(edges):
+            if b - a >= WORDS:
+                yield _distinct(every[a : b - WORDS + 1])
+            else:
+                yield _windows(words[a:b], b - a) if b > a else words[:0]
+
+    waiting, size = [], 0
+    with np.errstate(over="ignore"):
+        for text in texts:
+            low = (text or b"").lower()
+            if waiting and size + len(low) > SEGMENT:
+                yield from several(waiting)
+                waiting, size = [], 0
+            waiting.append(low)
+            size += len(low) + 1
+        if waiting:
+            yield from several(waiting)
 
 
 def prefix_length(n: int) -> int:
@@ -122,6 +160,12 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return _long(h[:8]), _long(h[8:])
 
 
+def class_of(s: np.ndarray, clashes: frozenset) -> int:
+    """The class of a set: its first hash, or its second where the first stands for several sets."""
+    first, second = set_hash(s)
+    return second if first in clashes else first
+
+
 def _batch(rows: list, kinds: list, names: list):
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -129,13 +173,16 @@ def _batch(rows: list, kinds: list, names: list):
 
 _L, _I, _B = pa.int64(), pa.int32(), pa.binary()
 SLICE = 1 << 14
-SIGNS = ["q0", "q1", "q2", "q3"]  # 256 parity bits of a set
 
 
-def signs(s: np.ndarray) -> list[int]:
-    """How many shingles fall into each of 256 places, modulo 2. Two sets differ in at least as many shingles as bits."""
-    odd = (np.bincount((s & _U(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).tolist()
+def parity_bits(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of BITS places, modulo 2. Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((s & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _texts(batch) -> list:
+    return batch.column("text").cast(_B).to_pylist()
 
 
 def _classes(batches):
@@ -143,14 +190,15 @@ def _classes(batches):
     counts = np.zeros(1 << COUNT_BITS, np.uint32)
     names, kinds = ["doc_id", "xh", "n", "g", "check", "slice", "counts"], [_L, _L, _L, _L, _L, _I, _B]
     for batch in batches:
-        rows = []
-        for doc, xh, text in zip(batch.column("doc_id").to_pylist(), batch.column("xh").to_pylist(), batch.column("text").cast(_B), strict=True):
-            s = shingles(text.as_py())
+        rows, found = [], []
+        for doc, xh, s in zip(batch.column("doc_id").to_pylist(), batch.column("xh").to_pylist(), shingle_sets(_texts(batch)), strict=True):
             if len(s):
-                np.add.at(counts, (s >> _U(64 - COUNT_BITS)).astype(np.int64), 1)
+                found.append((s >> _U(64 - COUNT_BITS)).astype(np.uint32))
                 rows.append((doc, xh, len(s), *set_hash(s), None, None))
             else:
                 rows.append((doc, xh, 0, None, None, None, None))
+        if found:
+            np.add.at(counts, np.concatenate(found), np.uint32(1))
         yield _batch(rows, kinds, names)
     yield _batch([(None, None, None, None, None, i, counts[at : at + SLICE].tobytes()) for i, at in enumerate(range(0, len(counts), SLICE)) if counts[at : at + SLICE].any()], kinds, names)
 
@@ -170,109 +218,143 @@ def _sum_counts(batches):
         yield _batch([(now, total.tobytes())], [_I, _B], ["slice", "counts"])
 
 
-def _postings(table):
-    """Index rows of each new class (token set) and the class's group (token null). A task passes over classes it has seen."""
+def prefix(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set in the order of shingles, and its counters."""
+    p, rank = prefix_length(len(s)), counts[(s >> _U(64 - COUNT_BITS)).astype(np.int64)]
+    if p < len(s):
+        at = np.flatnonzero(rank <= np.partition(rank, p - 1)[p - 1])
+        s, rank = s[at], rank[at]
+    order = np.argsort(rank, kind="stable")[:p]  # s is sorted
+    return s[order], rank[order]
 
-    def run(batches):
-        counts, seen, groups = table.value, set(), set()
-        names, kinds = ["token", "gp", "n", "pos", "g", *SIGNS], [_L, _L, _I, _I, _L, *[_L] * len(SIGNS)]
-        for batch in batches:
-            parts = []
-            for text in batch.column("text").cast(_B):
-                s = shingles(text.as_py())
-                if not len(s) or (g := set_hash(s)[0]) in seen:
-                    continue
-                seen.add(g)
-                n, p = len(s), prefix_length(len(s))
-                rank = counts[(s >> _U(64 - COUNT_BITS)).astype(np.int64)]
-                prefix = s[np.lexsort((s, rank))[:p]]
-                gp = set_hash(np.concatenate((prefix, [_U(n)])))[0]
-                parts.append((None, gp, n, None, g, *signs(s)))
-                if gp not in groups:
-                    groups.add(gp)
-                    parts.append((prefix.view(np.int64), gp, n, np.arange(p, dtype=np.int32), None))
-            index = [x for x in parts if x[0] is not None]
-            sizes = [len(x[0]) for x in index]
-            if index:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in index])), pa.array(np.repeat(np.array([x[1] for x in index], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in index], np.int32), sizes)), pa.array(np.concatenate([x[3] for x in index])), *[pa.nulls(sum(sizes), _L)] * (1 + len(SIGNS))], names)
-            yield _batch([x for x in parts if x[0] is None], kinds, names)
-
-    return run
 
+def dealt_from(counts: np.ndarray) -> int:
+    """The counter from which on a shingle may stand in more than DEALT sets, beyond what unrelated shingles add."""
+    mean = float(counts.mean())
+    return int(mean + 6 * mean**0.5) + DEALT
 
-def _fits(n1: int, p1: int, n2: int, p2: int) -> bool:
-    """Whether sets of n1 <= n2 shingles that first meet at these positions can be similar enough."""
-    return DEN * n1 >= NUM * n2 and (DEN + NUM) * (1 + min(n1 - p1, n2 - p2) - 1) >= NUM * (n1 + n2)
 
-
-def _lists(batches):
-    """Rows sorted by token, size, group. Of lists with two groups or more: the rows, and each group's links to hubs, with
-    the number of lists (in n) that make the link."""
-    names, kinds = ["token", "gp", "n", "pos", "hub"], [_L, _L, _I, _I, _L]
-    state = {"token": None, "first": None, "hub": None, "gp": None}
-    linked: Counter = Counter()
-    for batch in batches:
-        token = batch.column("token").to_numpy()
-        if not len(token):
-            continue
-        near = np.zeros(len(token), bool)
-        near[1:] = token[1:] == token[:-1]
-        near[:-1] |= near[1:].copy()
-        near[0] = near[-1] = True  # may go with the rows before or after this batch
-        at = np.flatnonzero(near)
-        rows = []
-        for t, gp, n, pos in zip(token[at].tolist(), *(batch.column(c).to_numpy()[at].tolist() for c in ("gp", "n", "pos")), strict=True):
-            if t != state["token"]:
-                state = {"token": t, "first": (t, gp, n, pos, None), "hub": (gp, n, pos), "gp": gp}
-            elif gp != state["gp"]:
-                if state["first"]:
-                    rows.append(state["first"])
-                    state["first"] = None
-                rows.append((t, gp, n, pos, None))
-                state["gp"] = gp
-                hub, hn, hp = state["hub"]
-                if _fits(hn, hp, n, pos):
-                    linked[hub, gp] += 1
-                else:
-                    state["hub"] = (gp, n, pos)
-        if len(linked) > 300_000:
-            rows += [(None, gp, k, None, hub) for (hub, gp), k in linked.items()]
-            linked.clear()
-        yield _batch(rows, kinds, names)
-    yield _batch([(None, gp, k, None, hub) for (hub, gp), k in linked.items()], kinds, names)
+_INDEX = "key long, gp long, place long, extra binary"
+_FOUND = "kind int, x long, y long, v long, bits binary"
+ENTRY, PAIR, GROUP = 0, 1, 2
 
 
-def _sets(marks):
-    """The sets of rows whose mark is set."""
+def _postings(table, clashes):
+    """Index rows of each new group: key is the shingle, place holds size and position. Rows with extra go through the lists
+    as they are: the group's members with their parity bits, and entries of shingles in very many sets. A task passes over
+    classes it has seen."""
 
     def run(batches):
-        words = marks.value
+        counts, seen, groups = table.value, set(), set()
+        limit, names = dealt_from(counts), [x.split()[0] for x in _INDEX.split(", ")]
         for batch in batches:
-            at = batch.column("mark").to_numpy()
-            wanted = (words[at >> 6] >> (at & 63)) & 1
-            rows = []
-            for text in batch.column("text").filter(pa.array(wanted.astype(bool))).cast(_B):
-                s = shingles(text.as_py())
-                if len(s):
-                    rows.append((set_hash(s)[0], s.tobytes()))
-            yield _batch(rows, [_L, _B], ["g", "body"])
+            single, tokens, owners, places = [], [], [], []
+            for s in shingle_sets(_texts(batch)):
+                if not len(s) or (g := class_of(s, clashes)) in seen:
+                    continue
+                seen.add(g)
+                n = len(s)
+                first, rank = prefix(s, counts)
+                gp = set_hash(np.concatenate((first, [_U(n)])))[0]
+                single.append((gp, gp, n, g.to_bytes(8, "little", signed=True) + parity_bits(s)))
+                if gp in groups:
+                    continue
+                groups.add(gp)
+                place = (n << 32) + np.arange(len(first), dtype=np.int64)
+                if rank[-1] >= limit:
+                    far = rank >= limit
+                    single += [(gp, gp, p, t.tobytes()) for t, p in zip(first[far], place[far].tolist(), strict=True)]
+                    first, place = first[~far], place[~far]
+                tokens.append(first.view(np.int64))
+                owners.append((gp, len(first)))
+                places.append(place)
+            if tokens:
+                repeated = np.repeat(np.array([x[0] for x in owners], np.int64), [x[1] for x in owners])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(repeated), pa.array(np.concatenate(places)), pa.nulls(len(repeated), _B)], names)
+            yield _batch(single, [_L, _L, _L, _B], names)
 
     return run
 
 
-def _mark(doc_id, xh):
-    return F.shiftrightunsigned(F.xxhash64(doc_id, xh), 64 - MARK_BITS)
+def _summed(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b, v = a[order], b[order], v[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[first], b[first], np.add.reduceat(v, first)
+
 
+def _found(kind: int, x, y, v, bits=None):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x, _L), pa.array(y, _L), pa.array(v, _L), pa.nulls(len(x), _B) if bits is None else pa.array(bits, _B)], [c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _lists(batches):
+    """Index rows sorted by key and group. Lists of two groups or more: the entries of long ones (ENTRY: shingle, group, place),
+    all pairs of short ones (PAIR: two groups, the number of shared shingles, and in the upper half how many of them pass
+    the filter by position). GROUP: group, class, size, parity bits."""
+    carried = [np.empty(0, np.int64)] * 3
+    long_key, pairs, waiting = None, [], 0
+    for batch, last in _with_last(batches):
+        if batch is not None:
+            extra = batch.column("extra")
+            whole = extra.is_null()
+            if (apart := batch.filter(extra.is_valid())).num_rows:
+                body = apart.column("extra").to_pylist()
+                key, place = apart.column("gp").to_pylist(), apart.column("place").to_pylist()
+                hot = [i for i, e in enumerate(body) if len(e) == 8]
+                if hot:
+                    yield _found(ENTRY, [_long(body[i]) for i in hot], [key[i] for i in hot], [place[i] for i in hot])
+                rest = [i for i, e in enumerate(body) if len(e) > 8]
+                yield _found(GROUP, [key[i] for i in rest], [_long(body[i][:8]) for i in rest], [place[i] for i in rest], [body[i][8:] for i in rest])
+            batch = batch.filter(whole)
+            carried = [np.concatenate((c, batch.column(n).to_numpy())) for c, n in zip(carried, ("key", "gp", "place"), strict=True)]
+        key, gp, place = carried
+        if len(key):
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (gp[1:] != gp[:-1])))
+            key, gp, place = key[new], gp[new], place[new]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        done = len(key)
+        if not last and len(starts):
+            done = starts[-1]
+            if key[-1] == long_key or len(key) - done > SHORT:  # the last list is long already; only its last row is kept, to tell repeats
+                long_key, done = key[-1], len(key) - 1
+        carried = [c[done:] for c in (key, gp, place)]
+        key, gp, place = key[:done], gp[:done], place[:done]
+        if not len(key):
+            if last and pairs:
+                yield _found(PAIR, *_summed(*(np.concatenate(c) for c in zip(*pairs, strict=True))))
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(key)])))
+        k = np.repeat(sizes, sizes)
+        is_long = (k > SHORT) | (key == long_key if long_key is not None else False)
+        if is_long.any():
+            yield _found(ENTRY, key[is_long], gp[is_long], place[is_long])
+        short = (k > 1) & ~is_long
+        key, gp, n, pos = key[short], gp[short], place[short] >> 32, place[short] & 0xFFFFFFFF
+        for d in range(1, SHORT):
+            i = np.flatnonzero(key[d:] == key[:-d])
+            if not len(i):
+                break
+            n1, n2 = n[i], n[i + d]
+            close = DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)
+            i, n1, n2 = i[close], n1[close], n2[close]
+            fits = (DEN + NUM) * np.minimum(n1 - pos[i], n2 - pos[i + d]) >= NUM * (n1 + n2)
+            pairs.append((np.minimum(gp[i], gp[i + d]), np.maximum(gp[i], gp[i + d]), 1 + (fits.astype(np.int64) << 32)))
+            waiting += len(i)
+        if pairs and (last or waiting > MOST_PAIRS):
+            total = _summed(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
+            if last or len(total[0]) > MOST_PAIRS // 2:
+                yield _found(PAIR, *total)
+                pairs, waiting = [], 0
+            else:
+                pairs, waiting = [total], len(total[0])
 
-def _marks(chosen: DataFrame):
-    """A bit for each row of chosen (doc_id, xh), in a broadcast table of 2 ** MARK_BITS bits whatever their number.
 
-    It lets all chosen rows pass and few others, so the texts need no shuffle; what passes needlessly finds no pair."""
-    mark = chosen.select(_mark("doc_id", "xh").alias("mark")).select(F.shiftright("mark", 6).alias("word"), F.expr("shiftleft(1L, cast(mark & 63 as int))").alias("bit"))
-    found = mark.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return chosen.sparkSession.sparkContext.broadcast(words)
+def _with_last(batches):
+    """Every batch with False, then (None, True)."""
+    for batch in batches:
+        yield batch, False
+    yield None, True
 
 
 def similar(left: np.ndarray, right: np.ndarray) -> bool:
@@ -288,76 +370,206 @@ def _verify(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar."""
-    spark, scratch_paths = pairs.sparkSession, [fresh(pairs.sparkSession, "candidates"), fresh(pairs.sparkSession, "sets")]
-    pairs = written(pairs, scratch_paths[0])
-    wanted = pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct()
-    marks = _marks(wanted.join(classes, "g").select(F.col("rep").alias("doc_id"), F.col("rep_xh").alias("xh")))
-    found = rows.select("text", _mark("doc_id", "xh").alias("mark")).mapInArrow(_sets(marks), "g long, body binary")
-    sets = written(found.dropDuplicates(["g"]), scratch_paths[1])
-    right = pairs.join(sets.select(F.col("g").alias("b"), F.col("body").alias("right")), "b")
-    both = right.join(sets.select(F.col("g").alias("a"), F.col("body").alias("left")), "a")
-    found = materialize(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"), "similar")
-    for path in scratch_paths:  # what came of them is written
-        discard(spark, path)
-    return found
+def _sets(clashes):
+    def run(batches):
+        for batch in batches:
+            yield _batch([(class_of(s, clashes), s.tobytes()) for s in shingle_sets(_texts(batch)) if len(s)], [_L, _B], ["g", "body"])
+
+    return run
+
+
+class _Join:
+    """What the steps share: the rows (doc_id, xh, text), the classes with a representative row each, clashing hashes."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, clashes: frozenset):
+        self.rows, self.classes, self.clashes, self.tried = rows, classes, clashes, None
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of classes that are similar; pairs that were verified before are left out.
+
+        Only texts of representatives that a pair names leave the scan (``among``), and only they are shuffled."""
+        spark = pairs.sparkSession
+        pairs = materialize(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "candidates")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        if is_empty(pairs):
+            return pairs
+        chosen, sets = fresh(spark, "representatives"), fresh(spark, "sets")
+        wanted = pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct()
+        named = written(wanted.join(self.classes, "g").select(F.col("rep").alias("doc_id"), F.col("rep_xh").alias("xh")), chosen)
+        found = among(self.rows, named, "wanted").where("wanted").select("text").mapInArrow(_sets(self.clashes), "g long, body binary")
+        bodies = written(found.join(wanted, "g", "left_semi").dropDuplicates(["g"]), sets)
+        right = pairs.join(bodies.select(F.col("g").alias("b"), F.col("body").alias("right")), "b")
+        both = right.join(bodies.select(F.col("g").alias("a"), F.col("body").alias("left")), "a")
+        found = materialize(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"), "similar")
+        for path in (chosen, sets):  # what came of them is written
+            discard(spark, path)
+        return found
 
 
 def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _can_be_similar(x, y):
-    """The filters by size, position and parity bits on two rows of one list. All hold for every pair that is similar enough."""
-    n1, n2, p1, p2 = (t[c] for c in ("n", "pos") for t in (x, y))
-    apart = sum((F.bit_count(x[q].bitwiseXOR(y[q])) for q in SIGNS), F.lit(0))
-    most = n1 + n2 - 2 * F.ceil(NUM * (n1 + n2) / (DEN + NUM))  # shingles that are in one set only
-    return (DEN * F.least(n1, n2) >= NUM * F.greatest(n1, n2)) & ((DEN + NUM) * F.least(n1 - p1, n2 - p2) >= NUM * (n1 + n2)) & (apart <= most)
+def _needed(n1, n2):
+    """Shingles that the prefixes of two similar sets share at least. What they share beyond lies outside the prefix of the
+    set whose prefix ends first, so it is at most that set's rest."""
+    rest = F.greatest(F.ceil(F.lit(NUM) * n1 / DEN), F.ceil(F.lit(NUM) * n2 / DEN)) - 1
+    return F.ceil(F.lit(NUM) * (n1 + n2) / (NUM + DEN)) - rest
 
 
-def _edges(comp: DataFrame) -> DataFrame:
-    return comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+def _short_pairs(found: DataFrame, entries: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of groups (x, y) of short lists that can be similar, with the groups' numbers of members (mx, my); and these numbers."""
+    inlong = entries.groupBy("gp").agg(F.count(F.lit(1)).alias("l"))
+    info = groups.groupBy("gp").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n")).join(inlong, "gp", "left").select("gp", "m", "n", F.coalesce("l", F.lit(0)).alias("l"))
+    info = materialize(info, "group-sizes")
+    met = found.where(F.col("kind") == PAIR).groupBy("x", "y").agg(F.sum("v").alias("v")).where(F.col("v") >= 1 << 32)
+    met = met.join(info.selectExpr("gp x", "m mx", "n nx", "l lx"), "x").join(info.selectExpr("gp y", "m my", "n ny", "l ly"), "y")
+    shared = F.col("v").bitwiseAND(F.lit((1 << 32) - 1)) + F.least("lx", "ly")
+    return met.where(shared >= _needed(F.col("nx"), F.col("ny"))).select("x", "y", "mx", "my"), info
 
 
-def _open_lists(entries: DataFrame, comp: DataFrame, groups: DataFrame) -> DataFrame:
-    """The lists that hold two components or more: token, g, n, pos, its component c, whether that is the list's largest,
-    and the list's length k, the class's parity bits and its open lists just before this one in the order of shingles."""
+def _open_lists(entries: DataFrame, comp: DataFrame) -> tuple[DataFrame, dict]:
+    """The entries (token, g, n, pos) of lists that hold two components or more, with the component c, whether it is the
+    list's largest, and the list's rows k and how many of them are not in the largest (odd). And the sums over all lists."""
     placed = entries.select("token", "g", "n", "pos").join(comp.select(F.col("node").alias("g"), "root"), "g", "left").select("token", "g", "n", "pos", F.coalesce("root", "g").alias("c"))
-    placed = materialize(placed, "placed")
     sizes = placed.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("parts")).where("parts > 1").selectExpr("token", "top.c as top", "k")
-    marked = placed.join(largest, "token").withColumn("in_top", F.col("c") == F.col("top")).drop("top")
-    earlier = Window.partitionBy("g").orderBy("pos", "token")
-    marked = marked.join(groups.select("g", *SIGNS), "g").withColumn("earlier", F.array(*[F.lag("token", i).over(earlier) for i in range(1, EARLIER + 1)]))
-    return materialize(marked, "open-lists")
-
-
-def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
-    """For each class the three pairs that meet most often when every list is put in one order drawn for this turn and
-    rows are paired with those of the four before them that pass the filters. Long lists are cut by a hash of the class, so no task holds a whole one."""
-    order = F.xxhash64("g", F.lit(turn))
-    part = F.pmod(F.xxhash64("g", F.lit(turn), F.lit("part")), F.ceil(F.col("k") / WINDOW)).alias("part")
-    w = Window.partitionBy("token", "part").orderBy("order", "g")
-    row = F.struct("g", "n", "pos", "c", *SIGNS)
-    near = lists.select("token", part, order.alias("order"), "g", row.alias("x")).withColumn("before", F.array(*[F.lag("x", i).over(w) for i in range(1, 5)]))
-    fitting = F.filter("before", lambda y: (y["c"] != F.col("x")["c"]) & _can_be_similar(F.col("x"), y))
-    met = near.select("x", F.explode(fitting).alias("y")).select(*_pair(F.col("x.g"), F.col("y.g"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    ends = met.select(F.explode(F.array("a", "b")).alias("g"), "a", "b", "k")
-    best = ends.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "a", "b")), asc=False).alias("all"))
-    return best.select(F.explode(F.slice("all", 1, HUBS)).alias("p")).select("p.a", "p.b").distinct()
+    largest = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k")).where("k > top.k").selectExpr("token", "top.c as top", "k", "k - top.k as odd")
+    left = materialize(placed.join(largest, "token").withColumn("in_top", F.col("c") == F.col("top")).drop("top"), "open-lists")
+    sums = left.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(~F.col("in_top"), F.col("k"))).alias("pairs")).first()
+    return left, {"rows": sums["rows"], "pairs": sums["pairs"] or 0}
+
+
+_ROW = ["g", "n", "pos", "c"]
+
+
+def _columns(batch) -> dict:
+    found = {c: batch.column(c).to_numpy() for c in _ROW}
+    found["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    return found
+
+
+def _passing(x: dict, y: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i of x and j of y, of one list and different components, that pass the filters by size, position and parity bits,
+    and by how many bits they differ. All filters hold for every pair that is similar enough."""
+    n1, n2 = x["n"][:, None].astype(np.int64), y["n"][None, :].astype(np.int64)
+    ok = (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (x["c"][:, None] != y["c"][None, :])
+    ok &= (DEN + NUM) * np.minimum(n1 - x["pos"][:, None], n2 - y["pos"][None, :]) >= NUM * (n1 + n2)
+    i, j = np.nonzero(ok)
+    size = x["n"][i].astype(np.int64) + y["n"][j]
+    most = size - 2 * -(-NUM * size // (DEN + NUM))  # shingles that are in one set only
+    apart = np.zeros(len(i), np.int64)
+    for w in range(BITS // 64):
+        apart += np.bitwise_count(x["bits"][i, w] ^ y["bits"][j, w])
+    near = apart <= most
+    return i[near], j[near], apart[near]
+
+
+def _blocks(batches, keys: list[str]):
+    """Runs of rows with equal keys, whole, as columns; the rows arrive sorted by them."""
+    kept, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(k).to_numpy() for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in key], axis=0)) + 1
+        for a, b in itertools.pairwise([0, *change.tolist(), batch.num_rows]):
+            this = tuple(int(c[a]) for c in key)
+            if this != now and kept:
+                yield {c: np.concatenate([p[c] for p in kept]) for c in kept[0]}
+                kept = []
+            now = this
+            kept.append(_columns(batch.slice(a, b - a)))
+    if kept:
+        yield {c: np.concatenate([p[c] for p in kept]) for c in kept[0]}
+
+
+def _nearest(batches):
+    """For each row of a block, the NEAREST partners that pass the filters and differ in the fewest bits."""
+    names, kinds = ["g", "apart", "partner"], [_L, _L, _L]
+    for rows in _blocks(batches, ["token", "part"]):
+        out = []
+        for at in range(0, len(rows["g"]), BLOCK):
+            x = {c: v[at : at + BLOCK] for c, v in rows.items()}
+            i, j, apart = _passing(x, rows)
+            order = np.lexsort((j, apart, i))
+            i, j, apart = i[order], j[order], apart[order]
+            first = np.searchsorted(i, i)  # where this row's partners begin
+            best = np.arange(len(i)) - first < NEAREST
+            out.append((x["g"][i[best]], apart[best], rows["g"][j[best]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def _neighbours(lists: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """For each class up to NEAREST pairs with classes of other components. Lists are dealt into blocks by a hash drawn for this turn."""
+    part = F.pmod(F.xxhash64("g", F.lit(turn)), F.ceil(F.col("k") / BLOCK)).alias("part")
+    rows = lists.select("token", part, *_ROW).join(groups.select("g", "bits"), "g")
+    met = rows.repartition("token", "part").sortWithinPartitions("token", "part", "g").mapInArrow(_nearest, "g long, apart long, partner long")
+    best = met.distinct().groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("apart", "partner"))), 1, NEAREST).alias("best"))
+    return best.select("g", F.explode("best.partner").alias("partner")).select(*_pair(F.col("g"), F.col("partner"))).distinct()
+
+
+def _meet(batches):
+    """Rows sorted by list, side and copy: some rows outside the largest component, then the whole list, in a stream."""
+    now, x, found = None, None, []
+    names = ["a", "b"]
+
+    def pairs():
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        a, b, _ = _summed(np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64))
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, _L), pa.array(b, _L)], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, side, whole = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "side", "whole"))
+        change = np.flatnonzero((token[1:] != token[:-1]) | (side[1:] != side[:-1]) | (whole[1:] != whole[:-1])) + 1
+        for a, b in itertools.pairwise([0, *change.tolist(), batch.num_rows]):
+            rows = _columns(batch.slice(a, b - a))
+            if not whole[a]:
+                x = rows if now != (token[a], side[a]) else {c: np.concatenate((x[c], rows[c])) for c in rows}
+                now = (token[a], side[a])
+            elif now == (token[a], side[a]):
+                for at in range(0, len(x["g"]), BLOCK):
+                    some = {c: v[at : at + BLOCK] for c, v in x.items()}
+                    i, j, _ = _passing(some, rows)
+                    if len(i):
+                        found.append((some["g"][i], rows["g"][j]))
+        if sum(len(f[0]) for f in found) > MOST_PAIRS:
+            yield pairs()
+    if found:
+        yield pairs()
+
+
+def _cross_pairs(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """All pairs of different components that share a list and pass the filters. A list is copied once for every SIDE rows
+    outside its largest component, so a task holds about that many rows, whatever the list's length."""
+    sides = F.ceil(F.col("odd") / SIDE).cast("int")
+    rows = lists.join(groups.select("g", "bits"), "g").withColumn("sides", sides)
+    some = rows.where("not in_top").select("token", F.pmod(F.xxhash64("g", F.lit("side")), F.col("sides")).cast("int").alias("side"), F.lit(False).alias("whole"), *_ROW, "bits")
+    every = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.lit(True).alias("whole"), *_ROW, "bits")
+    dealt = some.unionByName(every).repartition("token", "side").sortWithinPartitions("token", "side", "whole", "g")
+    return dealt.mapInArrow(_meet, "a long, b long").distinct()
+
+
+def _edges(comp: DataFrame) -> DataFrame:
+    return comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, xh, n_shingles, component_id for every row of docs (doc_id, text)."""
+    """doc_id, xh, n_shingles, component_id for every row of docs (doc_id, text), whether it is alone with its set and without
+    links, and whether it is the row of its component that stays: that of the smallest doc_id, then the smallest xh."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("xh"))
     first = materialize(rows.mapInArrow(_classes, "doc_id long, xh long, n long, g long, check long, slice int, counts binary"), "classes")
     members = first.where("n is not null").select("doc_id", "xh", "n", "g", "check")
-    classes = materialize(members.where("n > 0").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xh")).alias("r"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"), F.min("check").alias("lo"), F.max("check").alias("hi")).selectExpr("g", "r.doc_id rep", "r.xh rep_xh", "least", "c", "lo <> hi as clash"), "class-sizes")
-    if classes.where("clash").limit(1).count():
-        raise RuntimeError("two different shingle sets have one 64-bit hash; change the seed of the letters' table")
+    met = members.where("n > 0").groupBy("g").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
+    clashes = frozenset(r["g"] for r in met.select("g").collect())  # two sets of one 64-bit hash: none up to some 10^9 sets, a few dozen at 10^11
+    if clashes:
+        members = members.withColumn("g", F.when(F.col("g").isin(list(clashes)), F.col("check")).otherwise(F.col("g")))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xh")).alias("r")
+    classes = materialize(members.where("n > 0").groupBy("g").agg(head, F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).selectExpr("g", "r.doc_id rep", "r.xh rep_xh", "least", "c"), "class-sizes")
 
     counted = first.where("slice is not null").select("slice", "counts").repartition("slice").sortWithinPartitions("slice")
     counts = np.zeros(1 << COUNT_BITS, np.uint64)
@@ -365,57 +577,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint64)
     table = spark.sparkContext.broadcast(counts)
 
-    made = rows.select("text").mapInArrow(_postings(table), "token long, gp long, n int, pos int, g long, " + ", ".join(f"{q} long" for q in SIGNS))
-    postings = fresh(spark, "postings")
-    made = written(made, postings)
-    groups = materialize(made.where("token is null").select("gp", "g", "n", *SIGNS).distinct(), "groups")
-    index = made.where("token is not null").select("token", "gp", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "gp")
-    lists = materialize(index.mapInArrow(_lists, "token long, gp long, n int, pos int, hub long"), "lists")
-    discard(spark, postings)  # the groups and the lists are written
-
-    heads = groups.groupBy("gp").agg(F.min("g").alias("head"))
-    links = lists.where("hub is not null").groupBy("gp", "hub").agg(F.sum("n").alias("k")).groupBy("gp").agg(F.sort_array(F.collect_list(F.struct("k", "hub")), asc=False).alias("hubs"))
-    links = links.select("gp", F.explode(F.slice("hubs", 1, HUBS)).alias("h")).select("gp", "h.hub")
-    star = links.join(heads, "gp").select(F.col("head").alias("x"), F.col("hub").alias("gp")).join(heads, "gp").select(*_pair(F.col("x"), F.col("head")))
-    inner = groups.join(heads, "gp").where("g <> head").select(*_pair(F.col("g"), F.col("head")))
-    sure = _verified(star.unionByName(inner).distinct(), rows, classes)
-    comp = stars(sure)
-
-    entries = lists.where("hub is null").select("token", "gp", "n", "pos").distinct().join(groups.select("gp", "g"), "gp").select("token", "g", "n", "pos")
-    crowd = groups.join(groups.groupBy("gp").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "gp")
-    entries = entries.unionByName(crowd.select(F.col("gp").alias("token"), "g", "n", F.lit(0).alias("pos")))
-    lists_left = materialize(entries, "entries")
-    tried = None
-    for turn in range(TURNS + 1):
-        lists_left = _open_lists(lists_left, comp, groups)
-        size = lists_left.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(~F.col("in_top"), F.col("k"))).alias("pairs")).first()
-        if turn == TURNS or (size["pairs"] or 0) <= PAIRS_PER_ROW * size["rows"]:
+    index = rows.select("text").mapInArrow(_postings(table, clashes), _INDEX).repartition("key").sortWithinPartitions("key", "gp")
+    found = materialize(index.mapInArrow(_lists, _FOUND), "lists")
+    groups = materialize(found.where(F.col("kind") == GROUP).select(F.col("x").alias("gp"), F.col("y").alias("g"), F.col("v").alias("n"), "bits").dropDuplicates(["g"]), "groups")
+    place = [F.shiftright("v", 32).cast("int").alias("n"), F.col("v").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")]
+    entries = materialize(found.where(F.col("kind") == ENTRY).select(F.col("x").alias("token"), F.col("y").alias("gp"), *place).distinct(), "entries")
+
+    join = _Join(rows, classes, clashes)
+    pairs, sizes = _short_pairs(found, entries, groups)
+    pairs = materialize(pairs, "group-pairs")
+    few, names = F.col("mx") * F.col("my") <= SHORT * SHORT, groups.select("gp", "g")
+    expanded = pairs.where(few).join(names.selectExpr("gp x", "g u"), "x").join(names.selectExpr("gp y", "g w"), "y").select(*_pair(F.col("u"), F.col("w")))
+    crowds = groups.join(sizes.where("m > 1").select("gp", "m"), "gp").select("gp", "m", "g", "n")
+    small = crowds.where(F.col("m") <= SHORT)
+    inner = small.selectExpr("gp", "g u").join(small.selectExpr("gp", "g w"), "gp").where("u < w").select(F.col("u").alias("a"), F.col("w").alias("b"))
+    comp = stars(join.verified(expanded.unionByName(inner).distinct()))
+
+    # large groups, and pairs of groups with many members, are lists of their own
+    lists = entries.join(names, "gp").select("token", "g", "n", "pos")
+    alone = crowds.where(F.col("m") > SHORT).select(F.col("gp").alias("token"), "g", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
+    ends = pairs.where(~few).select(F.xxhash64("x", "y").alias("token"), F.explode(F.array("x", "y")).alias("gp"))
+    crossed = ends.join(groups.select("gp", "g", "n"), "gp").select("token", "g", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
+    left, before = materialize(lists.unionByName(alone).unionByName(crossed), "long-lists"), None
+    for turn in range(1 << 10):
+        left, size = _open_lists(left, comp)
+        if size["pairs"] <= PAIRS_PER_ROW * size["rows"] or (before is not None and size["pairs"] > PROGRESS * before):
             break
-        pairs = _neighbours(lists_left, turn)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "neighbours")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = _verified(pairs, rows, classes)
-        comp = stars(_edges(comp).unionByName(more))
-    x, y = lists_left.where("not in_top").alias("x"), lists_left.alias("y")
-    (left_row, right_row) = ({c: F.col(f"{t}.{c}") for c in ("n", "pos", *SIGNS)} for t in ("x", "y"))
-    unseen = ~F.coalesce(F.arrays_overlap("x.earlier", "y.earlier"), F.lit(False))  # the pair's first list, where the filters hold too, never drops it
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.in_top") | (F.col("x.g") < F.col("y.g"))) & _can_be_similar(left_row, right_row) & unseen)
-    left = cross.select(*_pair(F.col("x.g"), F.col("y.g"))).distinct()
-    rest = _verified(left if tried is None else left.join(tried, ["a", "b"], "left_anti"), rows, classes)
-    comp = components(_edges(comp).unionByName(rest))
+        before = size["pairs"]
+        comp = stars(_edges(comp).unionByName(join.verified(_neighbours(left, groups, turn))))
+    comp = components(_edges(comp).unionByName(join.verified(_cross_pairs(left, groups))))
 
     roots = comp.select(F.col("node").alias("g"), "root")
-    joined = classes.join(roots, "g", "left").where("c > 1 or root is not null").select("g", F.coalesce("root", "g").alias("root"), "least")
+    joined = classes.join(roots, "g", "left").where("c > 1 or root is not null").select("g", F.coalesce("root", "g").alias("root"), F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_xh").alias("r"), "least")
     joined = materialize(joined, "joined")
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    named = named.select("g", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.min("r").alias("head")), "root")
+    named = named.select("g", "component_id", "head.rep", "head.rep_xh", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "xh"), F.lit(SALTS)).cast("int"))
-    return salted.join(named, ["g", "salt"], "left").select("doc_id", "xh", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out, single = salted.join(named, ["g", "salt"], "left"), F.col("rep_xh").isNull()
+    stays = single | (F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("xh") == F.col("rep_xh")))
+    return out.select("doc_id", "xh", F.col("n").alias("n_shingles"), F.when(single, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), single.alias("alone"), stays.alias("stays"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one whose id names it. Texts without words stay; repeated rows count once."""
-    found = near_duplicates(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("_id"), F.col("xh").alias("_xh")).distinct()
-    rows = docs.withColumn("_x", F.xxhash64("text"))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_xh")))
-    return joined.dropDuplicates(["_id", "_xh"]).select(*docs.columns)
+    """docs with one document of each component: the one with its smallest doc_id (null last), then xh. Texts without words
+    all stay; repeated rows of a component count once. Only rows of components leave the scan for a shuffle."""
+    return without_redundant(docs, near_duplicates(docs).where("not alone").select("doc_id", "xh", "stays"))
