@@ -38,3 +38,9 @@ def clear(vectors: DataFrame, first: int, last: int, offset: int = 0) -> DataFra
 def count_and(left, right):
     """Number of bits that two words share."""
     return F.bit_count(left.bitwiseAND(right)).cast("long")
+
+
+def extent(vectors: DataFrame, keys: list[str], offset: int = 0) -> DataFrame:
+    """key..., size (bits of the words from the offset to the last one), end_idx (the index behind them), bits (that are set)."""
+    words = (F.max("word") + 1) * 64
+    return vectors.groupBy(*keys).agg(words.alias("size"), (words + offset).alias("end_idx"), F.sum(F.bit_count("bits")).cast("long").alias("bits"))

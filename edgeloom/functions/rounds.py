@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_roots: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir, deleted at its end. A temporary folder serves only a local master,
+    where driver and executors are one process."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _roots:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"file://{tempfile.gettempdir()}/checkpoints"
+        _roots[sc.applicationId] = root = f"{base.rstrip('/')}/graph-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_delete, spark, root)
+    return _roots[sc.applicationId]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jvm is None or sc._jsc is None:  # the application has ended
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
 
 def materialize(df: DataFrame, name: str = "round") -> DataFrame:
     """Write once under spark.checkpoint.dir and read back: cuts lineage and size estimates, survives lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{base.rstrip('/')}/graph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what materialize wrote for this frame, once nothing reads it any more."""
+    if df is not None:
+        _delete(df.sparkSession, df._scratch)
 
 
 def _ranged(df: DataFrame, order: list) -> DataFrame:
