@@ -78,10 +78,14 @@ def row_ptr(edges: DataFrame) -> DataFrame:
 
 
 def binned(edges: DataFrame, parts: int = 8, num_rows: int | None = None) -> DataFrame:
-    """Adds part: dst's column partition; the last takes what is over."""
+    """Adds part: dst's column partition; the last takes what is over. Without num_rows the largest id is found in the same job."""
+    width = lambda rows: F.greatest(F.lit(1), F.ceil(rows / parts))
     if num_rows is None:
-        num_rows = (edges.agg(F.max(F.greatest("src", "dst")).alias("m")).first()["m"] or 0) + 1
-    return edges.withColumn("part", F.least(F.floor(F.col("dst") / max(1, -(-num_rows // parts))), F.lit(parts - 1)).cast("long"))
+        top = edges.agg((F.coalesce(F.max(F.greatest("src", "dst")), F.lit(0)) + 1).alias("_rows"))
+        edges, rows = edges.crossJoin(F.broadcast(top)), F.col("_rows")  # one row
+    else:
+        rows = F.lit(num_rows)
+    return edges.withColumn("part", F.least(F.floor(F.col("dst") / width(rows)), F.lit(parts - 1)).cast("long")).drop("_rows")
 
 
 def part_view(bins: DataFrame, first: int, last: int) -> DataFrame:

@@ -21,11 +21,20 @@ def members(needles: DataFrame, haystack: DataFrame, on: list[str]) -> DataFrame
 def bounds(needles: DataFrame, haystack: DataFrame, upper: bool = False) -> DataFrame:
     """needle id, bound: how many haystack values (column v) lie below needle value v (upper: or equal it).
 
-    Needles (id, v) and values are scanned once in one order; on ties the haystack goes first for upper bounds.
+    The haystack is counted by value first, so a hot value is one row; needles (id, v) and values are then scanned once in
+    one order. On ties the haystack goes first for upper bounds.
     """
     hay_tag, needle_tag = (0, 1) if upper else (1, 0)
-    both = haystack.select(F.lit(None).cast("long").alias("id"), "v", F.lit(hay_tag).alias("tag"), F.lit(1).alias("one")).unionByName(needles.select("id", "v", F.lit(needle_tag).alias("tag"), F.lit(0).alias("one")))
-    return running_sum(both, "one", ["v", "tag", "id"], "bound").where("id is not null").select("id", "bound")
+    hay = haystack.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    both = hay.select(F.lit(None).cast("long").alias("id"), "v", F.lit(hay_tag).alias("tag"), "n").unionByName(needles.select("id", "v", F.lit(needle_tag).alias("tag"), F.lit(0).cast("long").alias("n")))
+    return running_sum(both, "n", ["v", "tag", "id"], "bound").where("id is not null").select("id", "bound")
+
+
+def search(needles: DataFrame, haystack: DataFrame, upper: bool = False) -> DataFrame:
+    """needle id, bound as in ``bounds``, found: whether the haystack holds the needle's value."""
+    values = haystack.select("v").distinct().withColumn("hit", F.lit(True))
+    found = needles.join(values, "v", "left").select("id", F.coalesce("hit", F.lit(False)).alias("found"))
+    return bounds(needles, haystack, upper).join(found, "id").select("id", "bound", "found")
 
 
 def merge_path(a: DataFrame, b: DataFrame, diagonals: list[int], upper: bool = False) -> DataFrame:

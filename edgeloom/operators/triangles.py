@@ -1,4 +1,8 @@
-"""Triangle counts: one meaning, several physical plans. Graphs are simple undirected edges (u, v) with u < v."""
+"""Triangle counts: one meaning, several physical plans. Graphs are simple undirected edges (u, v) with u < v.
+
+All lists of triangles go from lower to higher degree, so a hub's neighbours are never repeated on each of its edges: no
+list is longer than the root of twice the edges. Counts by strategy keep the plan that their name says.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bitvec
+from ..session import STRATEGY
 from .build import adjacency, orient_by_degree
 
 
@@ -24,7 +29,9 @@ def _shared(edges: DataFrame) -> DataFrame:
 
 def triangle_list(graph: DataFrame) -> DataFrame:
     """a, b, c with a < b < c."""
-    return _shared(_oriented(graph)).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.explode("common").alias("c"))
+    found = _shared(orient_by_degree(graph)).select("src", "dst", F.explode("common").alias("third"))
+    ends = F.sort_array(F.array("src", "dst", "third"))
+    return found.select(*(F.get(ends, F.lit(i)).alias(x) for i, x in enumerate("abc")))
 
 
 def _total(column):
@@ -64,21 +71,30 @@ def count_spgemm(graph: DataFrame) -> DataFrame:
     return multiply(a, a).withColumnRenamed("val", "paths").join(a, ["src", "dst"]).agg(_total(F.col("paths") * F.col("val")))
 
 
-def count_blocks(graph: DataFrame, parts: int = 4) -> DataFrame:
-    """Sum over tasks (i, j, k) of row, column and comparison blocks: bounds each task's lists."""
+def task_counts(graph: DataFrame, parts: int = 4) -> DataFrame:
+    """i, j, k, triangles: partial counts of the tasks that compare rows of block i with rows of block j over columns of block
+    k. Tasks without a triangle are left out; all others sum to the whole."""
     e = _oriented(graph)
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).alias
-    rows = e.groupBy("src", block("dst")("k")).agg(F.collect_list("dst").alias("a"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    rows = e.groupBy("src", block("dst").alias("k")).agg(F.collect_list("dst").alias("a"))
     left = e.join(rows, "src")
     right = rows.select(F.col("src").alias("dst"), "k", F.col("a").alias("b"))
-    return left.join(right, ["dst", "k"]).agg(_total(F.size(F.array_intersect("a", "b"))))
+    shared = left.join(right, ["dst", "k"]).select(block("src").alias("i"), block("dst").alias("j"), "k", F.size(F.array_intersect("a", "b")).alias("n"))
+    return shared.where("n > 0").groupBy("i", "j", "k").agg(_total("n"))
+
+
+def count_blocks(graph: DataFrame, parts: int = 4) -> DataFrame:
+    """Sum over tasks (i, j, k) of row, column and comparison blocks: bounds each task's lists."""
+    return task_counts(graph, parts).agg(_total("triangles"))
 
 
 STRATEGIES = {"array": count_array, "wedge": count_wedge, "bitmap": count_bitmap, "spgemm": count_spgemm, "blocks": count_blocks, "degree": count_degree}
 
 
-def triangle_count(graph: DataFrame, strategy: str = "auto") -> DataFrame:
-    """triangles. auto: by degree where some node has over 16 times the mean degree, else by id."""
+def triangle_count(graph: DataFrame, strategy: str | None = None) -> DataFrame:
+    """triangles. auto: by degree where some node has over 16 times the mean degree, else by id. Without a strategy the
+    session's option holds."""
+    strategy = strategy or graph.sparkSession.conf.get(STRATEGY, "auto")
     if strategy == "auto":
         from .build import degrees
 
@@ -97,17 +113,26 @@ def edge_support(graph: DataFrame) -> DataFrame:
 
 def vertex_triangles(graph: DataFrame) -> DataFrame:
     """src, triangles: those whose smallest node is src; rows without any are left out."""
-    return _shared(_oriented(graph)).groupBy("src").agg(F.sum(F.size("common")).cast("long").alias("triangles")).where("triangles > 0")
+    return triangle_list(graph).groupBy(F.col("a").alias("src")).agg(F.count(F.lit(1)).alias("triangles"))
+
+
+def _open_rows(graph: DataFrame) -> DataFrame:
+    """Edges (u, v) whose end v has larger neighbours itself: the only ones that a row-wise count looks at."""
+    return graph.select("u", "v").join(graph.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
 
 
 def range_counts(graph: DataFrame, width: int) -> DataFrame:
     """bucket, triangles: partial counts over row ranges of `width` ids; they sum to the whole."""
-    return _shared(_oriented(graph)).groupBy(F.floor(F.col("src") / width).cast("long").alias("bucket")).agg(F.sum(F.size("common")).cast("long").alias("triangles"))
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long").alias("bucket")
+    found = triangle_list(graph).select(bucket("a")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return _open_rows(graph).select(bucket("u")).distinct().join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("triangles"))
 
 
 def edge_range_counts(graph: DataFrame, width: int) -> DataFrame:
     """bucket, triangles: partial counts over ranges of `width` edges in (src, dst) order."""
     from .build import edge_ids
 
-    ids = edge_ids(_oriented(graph)).select("src", "dst", F.floor(F.col("edge_id") / width).cast("long").alias("bucket"))
-    return _shared(_oriented(graph)).join(ids, ["src", "dst"]).groupBy("bucket").agg(F.sum(F.size("common")).cast("long").alias("triangles"))
+    ids = edge_ids(_oriented(graph)).select(F.col("src").alias("u"), F.col("dst").alias("v"), F.floor(F.col("edge_id") / width).cast("long").alias("bucket"))
+    found = triangle_list(graph).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    looked = _open_rows(graph).join(ids, ["u", "v"]).join(found, ["u", "v"], "left")
+    return looked.groupBy("bucket").agg(F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("triangles"))

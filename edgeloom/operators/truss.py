@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounds import materialize
+from ..functions.rounds import discard, materialize
 from .build import degrees
 from .triangles import triangle_list
 
@@ -25,21 +25,64 @@ def _triangles(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, materialize(t.select("e1", "e2", "e3"), "triangles")
 
 
+SIDES = ("e1", "e2", "e3")
+
+
+def _support(live: DataFrame) -> DataFrame:
+    """e, s: triangles on each edge that has any."""
+    return live.select(F.explode(F.array(*SIDES)).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("s"))
+
+
+def _without(live: DataFrame, dead: DataFrame) -> DataFrame:
+    for side in SIDES:
+        live = live.join(dead.withColumnRenamed("e", side), side, "left_anti")
+    return live
+
+
+def _by_edge(live: DataFrame) -> DataFrame:
+    """Every triangle once for each of its edges e."""
+    return materialize(live.select(F.explode(F.array(*SIDES)).alias("e"), *SIDES), "by-edge")
+
+
 def _peel(live: DataFrame, k: int) -> tuple[DataFrame, list[dict]]:
-    """Triangles of the k-truss; each round drops those on an edge with too few."""
+    """Triangles (e1, e2, e3) of the k-truss, and the rounds' figures.
+
+    Support is counted once. Then only the frontier matters: the edges that fall below in a round take their triangles with
+    them, and only the other edges of these triangles lose support. Triangles stay where they are written, dead ones among
+    them, until over a tenth has died; then they are written anew without them.
+    """
     rounds, n = [], live.count()
+    if not n:
+        return live, rounds
+    views, support, dead, since = _by_edge(live), materialize(_support(live), "support"), None, 0
     while n:
-        support = live.select(F.explode(F.array("e1", "e2", "e3")).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("s"))
         weak = materialize(support.where(F.col("s") < k - 2).select("e"), "weak")
         gone = weak.count()
         rounds.append({"k": k, "triangles": n, "deleted": gone})
         if not gone:
             break
-        for side in ("e1", "e2", "e3"):
-            live = live.join(weak.withColumnRenamed("e", side), side, "left_anti")
-        live = materialize(live, "live")
-        n = live.count()
-    return live, rounds
+        hit = views.join(weak, "e", "left_semi").select(*SIDES).distinct()
+        hit = materialize(hit if dead is None else _without(hit, dead), "lost")
+        fell = hit.count()
+        lost = _support(hit).withColumnRenamed("s", "l")
+        left = support.join(weak, "e", "left_anti").join(lost, "e", "left").select("e", (F.col("s") - F.coalesce("l", F.lit(0))).alias("s"))
+        left = materialize(left, "support")
+        for old in (support, hit):
+            discard(old)
+        support, n, since = left, n - fell, since + fell
+        dead = weak if dead is None else dead.unionByName(weak)
+        if n and 10 * since > n:
+            old, views = views, materialize(_without(views, dead), "by-edge")
+            discard(old)
+            dead, since = None, 0
+    if not n:
+        return live.where("false"), rounds
+    left = views.where("e = e1").select(*SIDES)
+    return materialize(left if dead is None else _without(left, dead), "live"), rounds
+
+
+def _edges_of(live: DataFrame) -> DataFrame:
+    return live.select(F.explode(F.array(*SIDES)).alias("e")).distinct()
 
 
 def ktruss(graph: DataFrame, k: int) -> DataFrame:
@@ -48,8 +91,19 @@ def ktruss(graph: DataFrame, k: int) -> DataFrame:
         return graph.select("u", "v")
     edges, live = _triangles(node_eliminate(graph, k - 1))
     live, _ = _peel(live, k)
-    kept = live.select(F.explode(F.array("e1", "e2", "e3")).alias("e")).distinct()
-    return edges.join(kept, "e", "left_semi").select("u", "v")
+    return edges.join(_edges_of(live), "e", "left_semi").select("u", "v")
+
+
+def ktruss_pair(graph: DataFrame, low: int, high: int) -> DataFrame:
+    """u, v, k: the edges of the low-truss, and k = high for those of the high-truss among them, else low. One peel serves
+    both: the high-truss is peeled out of what the low one left."""
+    if not 2 < low <= high:
+        raise ValueError("2 < low <= high is asked for")
+    edges, live = _triangles(node_eliminate(graph, low - 1))
+    wide, _ = _peel(live, low)
+    narrow, _ = _peel(wide, high)
+    both = _edges_of(wide).join(_edges_of(narrow).withColumn("deep", F.lit(True)), "e", "left")
+    return edges.join(both, "e").select("u", "v", F.when(F.col("deep"), high).otherwise(low).cast("long").alias("k"))
 
 
 def truss_rounds(graph: DataFrame, k: int) -> list[dict]:
@@ -76,7 +130,9 @@ def truss_decomposition(graph: DataFrame, most_rounds: int = 500) -> DataFrame:
         seen = views.join(now.select(F.col("e").alias("f"), F.col("h").alias("x")), "f").join(now.select(F.col("e").alias("g"), F.col("h").alias("y")), "g")
         level = seen.groupBy("e", F.least("x", "y").alias("w")).agg(F.count(F.lit(1)).alias("n"))
         above = F.sum("n").over(Window.partitionBy("e").orderBy(F.col("w").desc()).rowsBetween(Window.unboundedPreceding, 0))
-        now = materialize(level.withColumn("above", above).groupBy("e").agg(F.max(F.least("w", "above")).alias("h")), "h-index")
+        then = materialize(level.withColumn("above", above).groupBy("e").agg(F.max(F.least("w", "above")).alias("h")), "h-index")
+        discard(now)
+        now = then
     else:
         raise RuntimeError(f"truss numbers did not settle in {most_rounds} rounds")
     return edges.join(now, "e", "left").select("u", "v", (F.coalesce("h", F.lit(0)) + 2).cast("long").alias("truss"))
@@ -88,15 +144,18 @@ def max_truss(graph: DataFrame) -> DataFrame:
 
 
 def max_truss_binary(graph: DataFrame, low: int = 2, high: int | None = None) -> int:
-    """The same by binary search over k: each probe peels the triangles that the last successful one left."""
+    """The same by search over k: each probe peels the triangles that the last successful one left. The first pivot lies at a
+    fifth of the span, the others in its middle."""
     edges, live = _triangles(graph)
     if not edges.limit(1).count():
         return 0
     if high is None:
-        top = live.select(F.explode(F.array("e1", "e2", "e3")).alias("e")).groupBy("e").count().agg(F.max("count").alias("m")).first()["m"]
+        top = _support(live).agg(F.max("s").alias("m")).first()["m"]
         high = (top or 0) + 2
+    first = True
     while low < high:
-        k = (low + high + 1) // 2
+        k = max(low + 1, (4 * low + high) // 5) if first else (low + high + 1) // 2
+        first = False
         kept, _ = _peel(live, k)
         if kept.limit(1).count():
             low, live = k, kept

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import bitvec
-from ..functions.rounds import running_sum
+from ..functions.rounds import running_sum, scratch
 from ..operators import build, linalg, lists, partition, triangles, truss
-from ..sources import fixtures, generators
+from ..sources import edge_files, fixtures, generators
+from ..streaming import edges as stream
 
 QUERIES = {}
 SQL = {}
@@ -30,7 +33,7 @@ def query(name: str, sql: str | None, graph: str | None = None):
         else:
             make, edges = GRAPHS[graph]
             QUERIES[name] = lambda spark, sf_dir: fn(make(spark, sf_dir))
-            text = sql and f"WITH {'RECURSIVE ' if 'RECURSE' in sql else ''}e AS ({edges})" + (", " if sql.lstrip()[:6] != "SELECT" else " ") + sql.replace("RECURSE ", "")
+            text = sql and f"WITH {'RECURSIVE ' if 'RECURSE' in sql else ''}e AS MATERIALIZED ({edges})" + (", " if sql.lstrip()[:6] != "SELECT" else " ") + sql.replace("RECURSE ", "")
         if text:
             SQL[name] = text
         return fn
@@ -76,6 +79,15 @@ def _search(upper):
 
 for _name, _op in (("lower_bound", "<"), ("upper_bound", "<=")):
     query(_name, f"WITH h AS (SELECT CAST(round(c_acctbal) AS BIGINT) AS v FROM customer) SELECT o_orderkey, (SELECT count(*) FROM h WHERE h.v {_op} o.v) AS bound FROM (SELECT o_orderkey, CAST(round(o_totalprice / 10) AS BIGINT) AS v FROM orders) o")(_search(_op == "<="))
+
+
+def _found(spark, sf_dir):
+    orders = fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 10).cast("long").alias("v"))
+    hay = fixtures.table(spark, sf_dir, "customer").select(F.round("c_acctbal").cast("long").alias("v"))
+    return lists.search(orders, hay).select(F.col("id").alias("o_orderkey"), "bound", "found")
+
+
+query("search_found", "WITH h AS (SELECT CAST(round(c_acctbal) AS BIGINT) AS v FROM customer) SELECT o_orderkey, (SELECT count(*) FROM h WHERE h.v < o.v) AS bound, v IN (SELECT v FROM h) AS found FROM (SELECT o_orderkey, CAST(round(o_totalprice / 10) AS BIGINT) AS v FROM orders) o")(_found)
 DIAGONALS = [0, 1, 7, 50, 100, 10**6]
 
 
@@ -96,6 +108,7 @@ for _name, _sides in (("merge_path_lower", (0, 1)), ("merge_path_upper", (1, 0))
         SELECT CAST(g AS BIGINT) AS diagonal, CAST(coalesce((SELECT sum(x) FROM m WHERE rn <= g), 0) AS BIGINT) AS a_index FROM (SELECT unnest({DIAGONALS}) AS g)""",
     )(_path(_sides[0] == 1))
 
+query("triangles_by_task", "t AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.v = y.u JOIN e z ON z.u = x.u AND z.v = y.v) SELECT count(*) AS triangles FROM t", "u")(lambda g: triangles.task_counts(g, 3).agg(F.coalesce(F.sum("triangles"), F.lit(0)).cast("long").alias("triangles")))
 for _strategy, _count in triangles.STRATEGIES.items():
     query(f"triangles_{_strategy}" if _strategy != "degree" else "triangles_degree_ordered", f"{TRI} SELECT count(*) AS triangles FROM t", "p")(_count)
 query("triangles_auto_users", f"{TRI} SELECT count(*) AS triangles FROM t", "u")(triangles.triangle_count)
@@ -128,6 +141,24 @@ query("truss_histogram", f"{TRUSS} SELECT truss, count(*) AS edges FROM tr GROUP
 query("max_truss", f"{TRUSS} SELECT max(truss) AS max_truss FROM tr", "u")(truss.max_truss)
 query("max_truss_binary", f"{TRUSS} SELECT max(truss) AS max_truss FROM tr", "u")(lambda g: g.sparkSession.range(1).select(F.lit(truss.max_truss_binary(g)).cast("long").alias("max_truss")))
 
+query("ktruss_pair", f"{TRUSS} SELECT u, v, CASE WHEN truss >= 7 THEN 7 ELSE 5 END::BIGINT AS k FROM tr WHERE truss >= 5", "u")(lambda g: truss.ktruss_pair(g, 5, 7))
+#: The rounds of peeling for one k: triangles at the round's begin, and edges that fall below.
+ROUNDS = """RECURSE tri0 AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.v = y.u JOIN e z ON z.u = x.u AND z.v = y.v),
+st AS (SELECT 0 AS r, false AS weak, u, v FROM (SELECT a AS u, b AS v FROM tri0 UNION SELECT b, c FROM tri0 UNION SELECT a, c FROM tri0) UNION ALL (
+WITH was AS (SELECT * FROM st), cur AS (SELECT * FROM was WHERE NOT weak), tri AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM cur x JOIN cur y ON x.v = y.u JOIN cur z ON z.u = x.u AND z.v = y.v),
+sup AS (SELECT u, v, count(*) AS n FROM (SELECT a AS u, b AS v FROM tri UNION ALL SELECT b, c FROM tri UNION ALL SELECT a, c FROM tri) GROUP BY 1, 2),
+more AS (SELECT (SELECT bool_or(weak OR r = 0) FROM was) AND (SELECT count(*) FROM tri) > 0 AS yes)
+SELECT r + 1, coalesce(n, 0) < 48, cur.u, cur.v FROM more, cur LEFT JOIN sup ON cur.u = sup.u AND cur.v = sup.v WHERE more.yes))
+"""
+
+
+def _rounds(g):
+    found = truss.truss_rounds(g, 50)
+    return g.sparkSession.createDataFrame([(i + 1, r["k"], r["deleted"]) for i, r in enumerate(found)], "round long, k long, deleted long")
+
+
+query("truss_rounds", f"{ROUNDS} SELECT CAST(r AS BIGINT) AS round, CAST(50 AS BIGINT) AS k, count(*) FILTER (WHERE weak) AS deleted FROM st WHERE r > 0 GROUP BY r", "u")(_rounds)
+
 query("load_balance", "WITH c AS (SELECT l_orderkey AS obj, count(*) FILTER (WHERE l_quantity > 25) AS cnt FROM lineitem GROUP BY 1) SELECT row_number() OVER (ORDER BY obj, rank) - 1 AS item, obj, rank FROM (SELECT obj, unnest(range(0, cnt)) AS rank FROM c)")(
     lambda spark, sf_dir: lists.load_balance(fixtures.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("obj")).agg(F.sum((F.col("l_quantity") > 25).cast("long")).alias("cnt")))
 )
@@ -141,6 +172,7 @@ query("fill_zero", "SELECT u AS src, v AS dst, CAST(0 AS BIGINT) AS val FROM e",
 query("exclusive_scan", "SELECT u AS src, v AS dst, CAST(sum(val) OVER (ORDER BY u, v) - val AS BIGINT) AS val FROM e", "w")(lambda g: running_sum(directed(g), "val", ["src", "dst"], "before", before=True).select("src", "dst", F.col("before").alias("val")))
 query("reductions", "SELECT CAST(sum(val) AS BIGINT) AS total, max(val) AS top, min(val) AS low, bit_or(val) AS bits, count(DISTINCT u) AS nodes FROM e", "w")(lambda g: g.agg(F.sum("val").alias("total"), F.max("val").alias("top"), F.min("val").alias("low"), F.bit_or("val").alias("bits"), F.countDistinct("u").alias("nodes")))
 
+query("bitvector_extent", "SELECT u AS src, CAST((max(v) // 64 + 1) * 64 AS BIGINT) AS size, CAST((max(v) // 64 + 1) * 64 AS BIGINT) AS end_idx, count(*) AS bits FROM e GROUP BY 1", "p")(lambda g: bitvec.extent(bitvec.build(directed(g), ["src"], "dst"), ["src"]))
 query("bitvector_counts", "SELECT u AS src, v // 64 AS word, count(*) AS bits FROM e GROUP BY 1, 2", "p")(lambda g: bitvec.build(directed(g), ["src"], "dst").select("src", "word", F.bit_count("bits").cast("long").alias("bits")))
 query("bitvector_clear", "SELECT u AS src, count(*) AS bits FROM e WHERE v NOT BETWEEN 30 AND 150 GROUP BY 1", "p")(lambda g: bitvec.clear(bitvec.build(directed(g), ["src"], "dst"), 30, 150).groupBy("src").agg(F.sum(F.bit_count("bits")).cast("long").alias("bits")))
 query("bitvector_get", "SELECT u AS src, CAST(max(CASE WHEN v = 100 THEN 1 ELSE 0 END) AS BIGINT) AS bit FROM e WHERE v // 64 = 1 GROUP BY 1", "p")(lambda g: bitvec.build(directed(g), ["src"], "dst").where("word = 1").select("src", bitvec.get(F.col("bits"), F.lit(100)).cast("long").alias("bit")))
@@ -173,3 +205,52 @@ def _cut(g, sweeps):
 query("crossdecomp_sweep", f"{_sweeps(1)} SELECT node, part FROM l1", "u")(lambda g: _cut(g, 1))
 query("crossdecomp_edges", f"{_sweeps(2)} SELECT a.part AS p_src, b.part AS p_dst, count(*) AS edges FROM d JOIN l2 a ON d.src = a.node JOIN l2 b ON d.dst = b.node GROUP BY 1, 2", "u")(lambda g: partition.edge_matrix(build.symmetric(g), _cut(g, 2)))
 query("crossdecomp_rename", f"{_sweeps(1)} SELECT node, row_number() OVER (ORDER BY part, node) - 1 AS new_id FROM l1", "u")(lambda g: partition.rename(_cut(g, 1)))
+query("crossdecomp_summary", f"{_sweeps(1)}, c AS (SELECT a.part AS p, b.part AS q, count(*) AS n FROM d JOIN l1 a ON d.src = a.node JOIN l1 b ON d.dst = b.node GROUP BY 1, 2) SELECT l.part, l.nodes, CAST(coalesce(sum(c.n) FILTER (WHERE c.q = l.part), 0) AS BIGINT) AS inner, CAST(coalesce(sum(c.n) FILTER (WHERE c.q <> l.part), 0) AS BIGINT) AS outer FROM (SELECT part, count(*) AS nodes FROM l1 GROUP BY 1) l LEFT JOIN c ON c.p = l.part GROUP BY 1, 2".replace(" AS inner", ' AS "inner"').replace(" AS outer", ' AS "outer"'), "u")(lambda g: partition.summary(build.symmetric(g), _cut(g, 1)))
+
+
+def _folder(g, suffix: str) -> str:
+    return f"{scratch(g.sparkSession)}/{uuid.uuid4().hex[:12]}{suffix}"
+
+
+def _through_tsv(g):
+    path = _folder(g, ".tsv")
+    edge_files.write_tsv(directed(g), path)
+    return edge_files.read_edges(g.sparkSession, path)
+
+
+def _through_bel(g):
+    path = _folder(g, ".bel")
+    edge_files.write_bel_parts(directed(g), path)
+    return edge_files.read_edges(g.sparkSession, path)
+
+
+def _bmtx(g) -> str:
+    path, top = _folder(g, ".bmtx"), g.agg(F.coalesce(F.max("v"), F.lit(-1)) + 1).first()[0]
+    edge_files.write_bmtx_parts(directed(g), path, top, top)
+    return path
+
+
+def _through_stream(g):
+    """Edges in text files, streamed; the rows that arrive."""
+    path, out = _folder(g, ".tsv"), _folder(g, "-streamed")
+    edge_files.write_tsv(directed(g).repartition(4), path)
+    rows = stream.stream_tsv(g.sparkSession, f"{path}/part-*", files=2)
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return g.sparkSession.read.parquet(out)
+
+
+def _recounted(g):
+    """Triangles after all files have come in, batch by batch."""
+    path, store, found = _folder(g, ".tsv"), _folder(g, "-store"), []
+    edge_files.write_tsv(directed(g).repartition(4), path)
+    stream.recount(stream.stream_tsv(g.sparkSession, f"{path}/part-*", files=2), store, f"{store}-state", found).awaitTermination()
+    return g.sparkSession.range(1).select(F.lit(found[-1][1] if found else 0).cast("long").alias("triangles"))
+
+
+query("read_tsv", "SELECT u AS src, v AS dst, val FROM e", "w")(_through_tsv)
+query("read_bel", "SELECT u AS src, v AS dst, val FROM e", "w")(_through_bel)
+query("read_bmtx", "SELECT u AS src, v AS dst, CAST(val AS DOUBLE) AS val FROM e", "w")(lambda g: edge_files.read_edges(g.sparkSession, _bmtx(g)))
+query("bmtx_metadata", "SELECT max(v) + 1 AS num_rows, max(v) + 1 AS num_cols, count(*) AS nnz FROM e", "w")(lambda g: edge_files.bmtx_metadata(g.sparkSession, _bmtx(g)).agg(F.max("num_rows").alias("num_rows"), F.max("num_cols").alias("num_cols"), F.sum("nnz").alias("nnz")))
+query("stream_edges", "SELECT u AS src, v AS dst, val FROM e", "w")(_through_stream)
+query("stream_triangles", f"{TRI} SELECT count(*) AS triangles FROM t", "u")(_recounted)
+query("csr_bytes", f"{SYM} SELECT 8 * (count(*) + max(src) + 2) AS bytes FROM d", "p")(lambda g: build.stats(build.symmetric(g)).select((8 * (F.col("nnz") + F.col("num_rows") + 1)).alias("bytes")))
