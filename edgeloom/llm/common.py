@@ -1,17 +1,18 @@
-"""Shared plumbing of the training-data operators: tables, scratch space, shipping the package to workers."""
+"""Shared plumbing of the training-data operators: tables, scratch space, marks on rows."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from ..session import ship
+
+__all__ = ["UPPER", "LOWER", "among", "ascii_lower", "discard", "fresh", "is_empty", "materialize", "scratch", "ship", "table", "without_redundant", "written"]
+
 _roots: dict[str, str] = {}
 
 #: ASCII lower case only: other letters stay as they are.
@@ -23,30 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so that they need no installation."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base = os.path.dirname(package)
-    path = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(package)}_{sc.applicationId}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for top, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(top, name)
-                    z.write(full, os.path.relpath(full, base))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
 def scratch(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir, or under a folder of our own where that is unset (tests)."""
+    """This application's folder under spark.checkpoint.dir. A temporary folder serves only a local master (tests)."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = f"file://{tempfile.gettempdir()}/checkpoints"
         _roots[app] = root = f"{base.rstrip('/')}/edgeloom-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_forget, spark, root)

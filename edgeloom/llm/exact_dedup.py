@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import among, materialize, ship, without_redundant
 
 #: The four largest primes below 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -28,8 +28,8 @@ BASES = (1103515245, 1664525017, 214013091, 1597463007)
 CHUNK = 8192  # 256 * 2^31 * 8192 = 2^52: a chunk's dot product is exact in float64
 HUGE_BYTES = 8 << 20  # texts beyond this are hashed piecewise on several workers
 BLOCK_BYTES = 1 << 20  # size of those pieces, and of the blocks that are compared
-SALTS = 32  # tasks that share one group of equal fingerprints
-FILTER_BITS = 26  # of the membership bitmap: 8 MiB at most, whatever the input
+SALTS = 32  # tasks that share the small rows of one group
+HEAVY = 4  # rows a partition beyond which a group of equal fingerprints is dealt to all partitions
 WHITE = b" \t\n\x0b\x0c\r"
 
 _powers: list[np.ndarray] = []
@@ -122,30 +122,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return whole.unionByName(summed.select(*keys, packed("h1", "h2").alias("hi"), packed("h3", "h4").alias("lo")))
 
 
-_BODIES = "doc_id long, xh long, n long, hi long, lo long, body binary"
-_MEMBERS = "doc_id long, xh long, n long, hi long, lo long, rep string, block int, body binary"
+_BODIES = "doc_id long, xh long, n long, hi long, lo long, at long, heavy boolean, body binary"
+_MEMBERS = "doc_id long, xh long, n long, hi long, lo long, rep string, mark string, block int, body binary"
 
 
-def _slot(hi: int, lo: int, bits: int) -> int:
-    return (hi ^ (lo >> 7)) & ((1 << bits) - 1)
-
-
-def _candidates(bitmap: dict[int, bytes], bits: int):
-    def scan(batches):
-        for batch in batches:
-            rows = []
-            for doc, xh, raw in zip(batch.column("doc_id").to_pylist(), batch.column("xh").to_pylist(), _texts(batch), strict=True):
-                norm = (raw or b"").translate(None, WHITE)
-                a, b, c, d = fingerprint(norm)
-                slot = _slot(hi := a << 31 | b, lo := c << 31 | d, bits)
-                part = bitmap.get(slot >> 15)
-                if part and part[(slot & 32767) >> 3] >> (slot & 7) & 1:
-                    rows.append((doc, xh, len(norm), hi, lo, norm))
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "xh", "n", "hi", "lo", "body"])
-
-    return scan
+def _bodies(batches):
+    for batch in batches:
+        rows = []
+        for doc, xh, at, heavy, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "xh", "at", "heavy")), _texts(batch), strict=True):
+            norm = (raw or b"").translate(None, WHITE)
+            a, b, c, d = fingerprint(norm)
+            rows.append((doc, xh, len(norm), a << 31 | b, c << 31 | d, at, heavy, norm))
+        kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _BODIES.split(", ")])
 
 
 def same(left: bytes, right: bytes) -> bool:
@@ -155,26 +145,30 @@ def same(left: bytes, right: bytes) -> bool:
 
 
 def _compare_local(batches):
-    """Rows arrive sorted by fingerprint. Each row points to its partition's representative with the same text; only the
-    representatives' blocks travel on."""
+    """Rows arrive sorted by fingerprint. A group that is here whole gets its marks at once: the number of each row's text among
+    the group's, from the second on. Of a heavy group each row points to its partition's representative with the same text,
+    and only the representatives' blocks travel on."""
     from pyspark import TaskContext
 
     task, made, key, reps = TaskContext.get().partitionId(), 0, None, []
-    names, kinds = ["doc_id", "xh", "n", "hi", "lo", "rep", "block", "body"], [pa.int64()] * 5 + [pa.string(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in _MEMBERS.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int32(), pa.binary()]
     for batch in batches:
         rows = []
-        bodies = batch.column("body")
+        bodies, heavy = batch.column("body"), batch.column("heavy").to_pylist()
         for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in names[:5]), strict=True)):
             if row[2:] != key:
                 key, reps = row[2:], []
             body = bodies[i].as_py()
-            rep = next((r for r, b in reps if same(b, body)), None)
-            if rep is None:
-                rep, made = f"{task}:{made}", made + 1
-                reps.append((rep, body))
-                rows += [(*row, rep, k, body[at : at + BLOCK_BYTES]) for k, at in enumerate(range(0, len(body), BLOCK_BYTES))]
-            rows.append((*row, rep, None, None))
-        columns = list(zip(*rows, strict=True)) or [()] * 8
+            at = next((j for j, (_, b) in enumerate(reps) if same(b, body)), len(reps))
+            if at == len(reps):
+                reps.append((f"{task}:{made}", body))
+                made += 1
+                if heavy[i]:
+                    rows += [(*row, reps[at][0], None, k, body[x : x + BLOCK_BYTES]) for k, x in enumerate(range(0, len(body), BLOCK_BYTES))]
+            if heavy[i] or at:
+                rows.append((*row, reps[at][0] if heavy[i] else None, None if heavy[i] else str(at), None, None))
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
@@ -195,23 +189,26 @@ def _compare_blocks(batches):
 
 
 def _odd_rows(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """doc_id, xh, mark of the rows whose fingerprint equals that of a different text (none is expected)."""
-    bits = FILTER_BITS
-    repeated = prints.groupBy("n", "hi", "lo").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    slot = F.col("hi").bitwiseXOR(F.shiftright("lo", 7)).bitwiseAND(F.lit((1 << bits) - 1))
-    # bitmap_* number bits from 1
-    parts = repeated.select((slot + 1).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    bitmap = {r["part"] - 1: bytes(r["bits"]) for r in parts.collect()}  # at most 2^26 bits
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("xh"))
-    bodies = rows.mapInArrow(_candidates(bitmap, bits), _BODIES)
-    keys = ["n", "hi", "lo"]
-    dealt = bodies.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    dealt = dealt.repartition(*keys, "salt").sortWithinPartitions(*keys, "doc_id").drop("salt")
+    """doc_id, xh, mark of the rows whose fingerprint equals that of a different text (none is expected).
+
+    Only texts of repeated fingerprints leave the scan (``among``). A group goes to one task, where its first text is
+    compared with the others; one of more than HEAVY rows a partition goes to all, and the partitions' representatives are
+    compared block by block."""
+    keys, parts = ["n", "hi", "lo"], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    repeated = prints.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id", "xh"), F.lit(SALTS)).cast("int"))
+    chosen = salted.join(repeated, [*keys, "salt"]).select("doc_id", "xh", (F.col("c") > HEAVY * parts).alias("heavy"))
+    chosen = materialize(chosen.distinct(), "repeated-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("xh"), F.monotonically_increasing_id().alias("at"))
+    named = among(rows, chosen, "named").where("named").drop("named")
+    bodies = among(named, chosen.where("heavy"), "heavy").select("doc_id", "xh", "at", "heavy", "text").mapInArrow(_bodies, _BODIES)
+    dealt = bodies.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("at"), F.lit(parts))).otherwise(0))
+    dealt = dealt.repartition(*keys, "salt").sortWithinPartitions(*keys, "doc_id", "xh")
     compared = materialize(dealt.mapInArrow(_compare_local, _MEMBERS), "compared")
     blocks = compared.where("block is not null").repartition(*keys, "block").sortWithinPartitions(*keys, "block", "rep")
     odd = blocks.mapInArrow(_compare_blocks, "rep string, mark string").groupBy("rep").agg(F.concat_ws(",", F.sort_array(F.collect_list("mark"))).alias("mark"))
-    odd = materialize(odd, "odd-blocks")
-    return compared.where("block is null").select("doc_id", "xh", "rep").join(odd, "rep").select("doc_id", "xh", "mark").distinct()
+    far = compared.where("block is null and rep is not null").select("doc_id", "xh", "rep").join(materialize(odd, "odd-blocks"), "rep").select("doc_id", "xh", "mark")
+    return materialize(far.unionByName(compared.where("mark is not null").select("doc_id", "xh", "mark")).distinct(), "odd-rows")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -237,8 +234,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """docs without the rows that an equal text makes redundant; repeated rows count once."""
-    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("xh").alias("_xh")).distinct()
-    rows = docs.withColumn("_x", F.xxhash64("text"))
-    joined = rows.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_xh")))
-    return joined.dropDuplicates(["_id", "_xh"]).select(*docs.columns)
+    """docs without the rows that an equal text makes redundant; repeated rows count once. Only rows of groups are shuffled."""
+    return without_redundant(docs, exact_dedup(docs).where("group_size > 1").select("doc_id", "xh", F.col("kept").alias("stays")))

@@ -84,8 +84,9 @@ def test_repeated_huge_rows_all_stay(spark):
     assert got(exact_dedup.exact_dedup(docs)) == brute_dedup([(d, t * n) for d, t, n in rows])
 
 
-def test_equal_fingerprints_are_compared(spark, monkeypatch):
-    """With one fingerprint for all, only the comparison tells texts apart."""
+@pytest.mark.parametrize("heavy", [0, 4])
+def test_equal_fingerprints_are_compared(spark, monkeypatch, heavy):
+    """With one fingerprint for all, only the comparison tells texts apart, whether the group is whole in one task or dealt."""
     import pyspark.sql.functions as F
 
     def collide(batches):
@@ -93,17 +94,37 @@ def test_equal_fingerprints_are_compared(spark, monkeypatch):
 
         for b in batches:
             n = b.num_rows
-            text = b.column("text").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("xh"), pa.array([5] * n, pa.int64()), pa.array([1] * n, pa.int64()), pa.array([1] * n, pa.int64()), text], ["doc_id", "xh", "n", "hi", "lo", "body"])
+            fixed = [pa.array([x] * n, pa.int64()) for x in (5, 1, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("xh"), *fixed, b.column("at"), b.column("heavy"), b.column("text").cast(pa.binary())], ["doc_id", "xh", "n", "hi", "lo", "at", "heavy", "body"])
 
-    rows = [(i, "abc"[i % 3] * 5) for i in range(12)]
-    docs = frame(spark, rows)
+    rows = [(i, "abc"[i % 3] * 5) for i in range(12)] + [(None, "aaaaa"), (None, "bbbbb"), (3, "aaaaa")]
+    docs = frame(spark, rows).repartition(3)
     prints = exact_dedup.fingerprints(docs)
     monkeypatch.setattr(exact_dedup, "fingerprints", lambda d: prints.withColumn("hi", F.lit(1)).withColumn("lo", F.lit(1)))
-    monkeypatch.setattr(exact_dedup, "_candidates", lambda bitmap, bits: collide)
+    monkeypatch.setattr(exact_dedup, "_bodies", collide)
+    monkeypatch.setattr(exact_dedup, "HEAVY", heavy)
     assert got(exact_dedup.exact_dedup(docs)) == brute_dedup(rows)
 
 
+def test_keep_leaves_own_columns_alone(spark):
+    """Columns with the operators' own names come back as they were; repeated rows and null ids count once."""
+    rows = [(1, "a b"), (1, "a b"), (2, "ab"), (None, "c"), (None, "c"), (3, None), (4, ""), (5, "d e f g h i"), (6, "D e f g h i")]
+    names = ["_x", "_id", "_xh", "xh", "row", "named", "stays", "at", "_mark", "d", "x", "token", "g", "component_id"]
+    docs = frame(spark, rows).select("doc_id", "text", *(frame_literal(n) for n in names))
+    for f, want in ((exact_dedup.keep, {(1, "a b"), (None, "c"), (3, None), (5, "d e f g h i"), (6, "D e f g h i")}), (ngram_join.keep_one, {(1, "a b"), (2, "ab"), (None, "c"), (3, None), (4, ""), (5, "d e f g h i")})):
+        kept = f(docs)
+        assert kept.columns == docs.columns
+        found = kept.collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == sorted(want, key=str), f
+        assert all(r[n] == n for r in found for n in names)
+
+
+def frame_literal(name):
+    import pyspark.sql.functions as F
+
+    return F.lit(name).alias(name)
+
+
 def shingle_set(text):
     low = "".join(c.lower() if c.isascii() else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -194,11 +215,11 @@ def test_components(spark):
 def test_parity_bits_bound_the_difference_of_sets():
     import numpy as np
 
-    from edgeloom.llm.ngram_join import signs
+    from edgeloom.llm.ngram_join import parity_bits
 
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
     for _ in range(200):
         x, y = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
-        bits = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(signs(x), signs(y), strict=True))
+        bits = (int.from_bytes(parity_bits(x)) ^ int.from_bytes(parity_bits(y))).bit_count()
         assert bits <= len(np.setxor1d(x, y))
