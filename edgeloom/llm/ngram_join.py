@@ -42,7 +42,8 @@ WORDS = 5
 #: similarity >= 4/5
 NUM, DEN = 4, 5
 COUNT_BITS = 20  # counters of the frequency table: 8 MiB, whatever the input
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+AT_ONCE = 500  # sets that a task holds before it passes them on
 SALTS = 16
 SHORT = 16  # groups in a list that gives all its pairs at once
 DEALT = 1 << 16  # excess of a counter over the table's noise at which its shingles skip the sorted lists
@@ -181,8 +182,8 @@ def parity_bits(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _texts(batch) -> list:
-    return batch.column("text").cast(_B).to_pylist()
+def _texts(batch) -> Iterator[bytes | None]:
+    return (x.as_py() for x in batch.column("text").cast(_B))
 
 
 def _classes(batches):
@@ -197,6 +198,9 @@ def _classes(batches):
                 rows.append((doc, xh, len(s), *set_hash(s), None, None))
             else:
                 rows.append((doc, xh, 0, None, None, None, None))
+            if len(found) >= AT_ONCE:
+                np.add.at(counts, np.concatenate(found), np.uint32(1))
+                found.clear()
         if found:
             np.add.at(counts, np.concatenate(found), np.uint32(1))
         yield _batch(rows, kinds, names)
@@ -373,7 +377,9 @@ def _verify(batches):
 def _sets(clashes):
     def run(batches):
         for batch in batches:
-            yield _batch([(class_of(s, clashes), s.tobytes()) for s in shingle_sets(_texts(batch)) if len(s)], [_L, _B], ["g", "body"])
+            sets = ((class_of(s, clashes), s.tobytes()) for s in shingle_sets(_texts(batch)) if len(s))
+            while some := list(itertools.islice(sets, AT_ONCE)):
+                yield _batch(some, [_L, _B], ["g", "body"])
 
     return run
 
@@ -434,7 +440,10 @@ def _open_lists(entries: DataFrame, comp: DataFrame) -> tuple[DataFrame, dict]:
     placed = entries.select("token", "g", "n", "pos").join(comp.select(F.col("node").alias("g"), "root"), "g", "left").select("token", "g", "n", "pos", F.coalesce("root", "g").alias("c"))
     sizes = placed.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k")).where("k > top.k").selectExpr("token", "top.c as top", "k", "k - top.k as odd")
-    left = materialize(placed.join(largest, "token").withColumn("in_top", F.col("c") == F.col("top")).drop("top"), "open-lists")
+    # a list has more than SHORT rows, nearly always; its verdict is copied so that a hot list is not one task
+    largest = largest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(SALTS)).cast("int"))
+    left = materialize(placed.join(largest, ["token", "salt"]).withColumn("in_top", F.col("c") == F.col("top")).drop("top", "salt"), "open-lists")
     sums = left.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(~F.col("in_top"), F.col("k"))).alias("pairs")).first()
     return left, {"rows": sums["rows"], "pairs": sums["pairs"] or 0}
 
@@ -530,11 +539,11 @@ def _meet(batches):
                 x = rows if now != (token[a], side[a]) else {c: np.concatenate((x[c], rows[c])) for c in rows}
                 now = (token[a], side[a])
             elif now == (token[a], side[a]):
-                for at in range(0, len(x["g"]), BLOCK):
-                    some = {c: v[at : at + BLOCK] for c, v in x.items()}
-                    i, j, _ = _passing(some, rows)
+                for at, y in itertools.product(range(0, len(x["g"]), BLOCK), range(0, b - a, BLOCK * 4)):
+                    some, part = ({c: v[t : t + n] for c, v in r.items()} for r, t, n in ((x, at, BLOCK), (rows, y, BLOCK * 4)))
+                    i, j, _ = _passing(some, part)
                     if len(i):
-                        found.append((some["g"][i], rows["g"][j]))
+                        found.append((some["g"][i], part["g"][j]))
         if sum(len(f[0]) for f in found) > MOST_PAIRS:
             yield pairs()
     if found:
