@@ -1,11 +1,13 @@
 """Licence scan by canonical digest lookup.
 
 A text is brought into a canonical form (lower case, copyright lines deleted, punctuation to blanks, equivalent spellings
-made one, white space collapsed) and hashed; a hash join with the digests of known licences identifies it. The same lookup
-runs over whole documents and over each of their lines, because notices often stand alone in a line.
+made one, white space collapsed) and hashed; a hash join with the digests of known licences identifies it. Each of its
+paragraphs and lines goes through the same join, because notices often stand alone there. No word decides beforehand what is
+looked up.
 
 Defined results: null and empty texts have the digest of the empty string and no licence; repeated rows each get their own
-result row; a null doc_id stays null; an empty table gives no rows. Extra columns are ignored.
+result row; a null doc_id stays null; an empty table gives no rows. Very long texts are read whole. Extra columns are ignored
+whatever their names. Of licences with one digest the first name counts.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .license_digests import FULL
 
 #: Texts of well-known licences and notices, by SPDX name.
@@ -70,31 +73,42 @@ def canonical_sql(text: str) -> str:
 
 
 def known(spark) -> DataFrame:
-    """digest, license: a fixed table, so its broadcast is bounded."""
+    """digest, license: a fixed table of some hundred rows, so its broadcast is bounded."""
     rows = [(name, text) for name, texts in KNOWN.items() for text in texts]
     short = spark.createDataFrame(rows, "license string, text string").select(F.md5(canonical(F.col("text"))).alias("digest"), "license")
     full = spark.createDataFrame([(digest, name) for name, digests in FULL.items() for digest in digests], "digest string, license string")
-    return short.unionByName(full).distinct()
+    return short.unionByName(full).groupBy("digest").agg(F.min("license").alias("license"))
+
+
+#: What parts paragraphs: blank lines.
+GAP = "\n[ \t\r]*\n"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_digest, license (of the whole text, or null), line_licenses (sorted, comma-joined, of its lines)."""
-    table = F.broadcast(known(docs.sparkSession))
+    """doc_id, text_digest, license (of the whole text, or null), notices (licences of its paragraphs and lines, sorted, comma-joined).
+
+    One pass over the texts: digests of the whole, the paragraphs and the lines meet the table; only the whole's row and
+    hits go on."""
     text = F.coalesce("text", F.lit(""))
-    digests = F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.md5(canonical(x))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(canonical(F.col("text"))).alias("text_digest"), digests.alias("lines"))
-    pairs = {r["digest"]: r["license"] for r in table.collect()}
-    names = F.create_map(*(F.lit(x) for pair in sorted(pairs.items()) for x in pair))
-    whole = rows.join(table.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    found = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("lines", lambda x: x.isin(list(pairs))), lambda x: names[x]))), ",")
-    return whole.select("doc_id", "text_digest", "license", found.alias("line_licenses"))
+    digest = lambda x: F.md5(canonical(x))
+    parts = F.array_distinct(F.transform(F.concat(F.split(text, GAP), F.split(text, "\n")), digest))
+    looked = F.concat(F.array(F.struct(F.lit(True).alias("whole"), digest(text).alias("digest"))), F.transform(parts, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("digest"))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))  # before the parts: one number a row
+    rows = rows.select("doc_id", "row", F.explode(looked).alias("x")).select("doc_id", "row", "x.whole", "x.digest")
+    found = rows.join(F.broadcast(known(docs.sparkSession)), "digest", "left").where("whole or license is not null")  # a fixed table
+    found = materialize(found, "license-hits")
+    notices = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",")
+    out = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max(F.when(F.col("whole"), F.col("digest"))).alias("text_digest"), F.max(F.when(F.col("whole"), F.col("license"))).alias("license"), notices.alias("notices"))
+    return out.select("doc_id", "text_digest", "license", "notices")
 
 
 def scan_sql() -> str:
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in KNOWN.items() for text in texts)
+    full = ", ".join(f"('{name}', '{digest}')" for name, digests in FULL.items() for digest in digests)
     return f"""
-WITH known AS (SELECT DISTINCT md5({canonical_sql("t")}) AS digest, name FROM (VALUES {values}) AS v(name, t)),
-lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-hit AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS s FROM lines JOIN known ON md5({canonical_sql("line")}) = known.digest WHERE regexp_matches(lower(line), 'licen[sc]e|public license|subject to the terms') GROUP BY doc_id)
-SELECT d.doc_id, d.text_digest, known.name AS license, coalesce(hit.s, '') AS line_licenses
-FROM (SELECT doc_id, md5({canonical_sql("text")}) AS text_digest FROM documents) d LEFT JOIN known ON d.text_digest = known.digest LEFT JOIN hit ON d.doc_id = hit.doc_id"""
+WITH known AS (SELECT digest, min(name) AS name FROM (SELECT name, md5({canonical_sql("t")}) AS digest FROM (VALUES {values}) AS v(name, t) UNION ALL SELECT name, digest FROM (VALUES {full}) AS w(name, digest)) GROUP BY digest),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT r, unnest(list_distinct(list_concat(string_split_regex(text, '\n[ \t\r]*\n'), string_split(text, chr(10))))) AS part FROM d),
+hit AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS s FROM parts JOIN known ON md5({canonical_sql("part")}) = known.digest GROUP BY r)
+SELECT d.doc_id, d.text_digest, known.name AS license, coalesce(hit.s, '') AS notices
+FROM (SELECT r, doc_id, md5({canonical_sql("text")}) AS text_digest FROM d) d LEFT JOIN known ON d.text_digest = known.digest LEFT JOIN hit ON d.r = hit.r"""
