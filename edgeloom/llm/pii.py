@@ -1,15 +1,18 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Regular expressions propose spans; regex, gazetteer and context labelers vote on each. The votes' joint counts (a few dozen
-rows, whatever the input) go to the driver, where expectation-maximisation estimates each labeler's reliability, and a
-logistic span classifier is fitted to the resulting posteriors. The classifier's weights return as a column expression that
-decides about proposals outside the base rules; base spans always stay.
+Regular expressions propose spans; regex, gazetteer and context labelers vote on each. The votes' joint counts, together with
+a few bits about each span's shape (at most 4096 rows, whatever the input), go to the driver, where expectation-maximisation
+estimates each labeler's reliability from the votes, and a logistic span classifier of votes, kind and shape is fitted to the
+resulting posteriors. The classifier's weights return as a column expression that decides about proposals outside the base
+rules; base spans always stay.
 
-Positions are code points. A list of matches becomes positions by running sums over blocks, so a text with very many matches
-costs no quadratic time. Patterns are possessive where that changes nothing, so that long runs neither recurse nor rescan.
+Positions are code points. A list of matches becomes positions by running sums over blocks, and contexts come from the gaps
+between matches, so a text with very many matches takes time in proportion to its length. Patterns are possessive where that
+changes nothing, so that long runs neither recurse nor rescan.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results; doc_id may be null; an empty table gives
-no rows. Extra columns are ignored.
+no rows. Very long texts are read whole. Extra columns are ignored whatever their names. Of spans that begin at one place the
+order is that of the kinds.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "loose": r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
+    # numbers with a plus are the base rule's; others of ten digits in three groups are proposals only
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Gazetteers, as patterns over the span.
@@ -39,7 +42,8 @@ GAZETTEER = {
     "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|ch|at)$",
     "ip": r"^(?!0|10\.|127\.|169\.254\.|192\.168\.|22[4-9]|23|24|25)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
-    "phone": r"^\+?(?:1|33|34|44|49|39|41|43)?[\x20(.-]*[0-9]{2,3}",
+    # country calling codes, or a North American area code
+    "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69][0-9]|3[578][0-9]|42[0-3]|50[0-9]|59[0-9]|6[789][0-9]|8[05789][0-9]|9[679][0-9])|\(?[2-9][0-9]{2}[^0-9])",
 }
 #: Context words that stand shortly before a span.
 CONTEXT = {
@@ -51,22 +55,30 @@ CONTEXT = {
 LABELERS = ("regex", "gazetteer", "context", "isolated", "grouped")
 
 
+#: Bits about a span's shape, for the classifier: blanks, points or hyphens, brackets, many digits, a sign or letter before it.
+SHAPES = (r"\x20", r"[0-9][.-][0-9]", r"[()]", r"(?:[0-9][^0-9]*){11}", None)
+NEAR = 30  # characters of context
+
+
 def located(text, pattern: str):
-    """array<struct<start, m>> of a pattern's matches, from the gaps that a split leaves between them."""
+    """array<struct<gap, before, after, m>> of a pattern's matches: the length of the gap before each, its last characters and
+    the first one of the gap that follows. Text and gaps are walked once, not once for every match."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.transform(matches, lambda m, i: F.struct(F.length(F.element_at(F.slice(gaps, i + 1, 1), 1)).alias("gap"), m.alias("m")))
-    return pairs
+    heads = F.transform(gaps, lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(NEAR)).alias("before"), F.left(g, F.lit(1)).alias("head")))
+    # one gap more than matches
+    pairs = F.zip_with(matches, heads, lambda m, g: F.struct(g["gap"].alias("gap"), g["before"].alias("before"), g["head"].alias("head"), m.alias("m")))
+    return F.zip_with(F.filter(pairs, lambda x: x["m"].isNotNull()), F.filter(F.transform(pairs, lambda x, i: F.when(i > 0, x["head"])), lambda h: h.isNotNull()), lambda x, h: F.struct(x["gap"].alias("gap"), x["before"].alias("before"), h.alias("after"), x["m"].alias("m")))
 
 
 def _placed(pairs):
     """Running sums in blocks."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
     sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["m"])))
-    empty = F.array().cast("array<struct<start:int,m:string>>")
+    empty = F.array().cast("array<struct<start:int,before:string,after:string,m:string>>")
     ahead = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, s: F.struct((a["at"] + s).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
     def within(block, at):
-        step = lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["m"].alias("m")))).alias("out"))
+        step = lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["before"].alias("before"), x["after"].alias("after"), x["m"].alias("m")))).alias("out"))
         return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step, lambda a: a["out"])
 
     return F.when(F.size(pairs) > 0, F.flatten(F.zip_with(blocks, ahead, within))).otherwise(empty)
@@ -93,34 +105,33 @@ def _base(kind: str, m):
     return m.startswith("+") & n.between(9, 15)
 
 
-def _votes(kind: str, text, start, m, base):
-    before = F.substring(text, F.greatest(start - 29, F.lit(1)), F.least(start, F.lit(30)))
-    around = F.concat(F.substring(before, -1, 1), F.lit(" "), F.substring(text, start + F.length(m) + 1, F.lit(1)))
-    bits = (base, m.rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind]), ~around.rlike("[0-9A-Za-z_]"), m.rlike("[0-9]{3,4}[ .-][0-9]{3,4}") if kind in ("card", "phone") else m.rlike("[a-z]"))
+def _votes(kind: str, x, base):
+    """The labelers' votes as bits 0 to 4, and the shape as the bits above."""
+    m, around = x["m"], F.concat(F.right(x["before"], F.lit(1)), F.lit(" "), x["after"])
+    bits = [base, m.rlike(GAZETTEER[kind]), x["before"].rlike(CONTEXT[kind]), ~around.rlike("[0-9A-Za-z_]"), m.rlike("[0-9]{3,4}[ .-][0-9]{3,4}") if kind in ("card", "phone") else m.rlike("[a-z]")]
+    bits += [m.rlike(p) if p else x["before"].rlike(r"[=:#/_@A-Za-z]$") for p in SHAPES]
     return sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0))
 
 
 def proposals(docs: DataFrame) -> DataFrame:
     """doc_id, found array<struct<start, kind, end, base, votes>> for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    none = F.array().cast("array<struct<gap:int,m:string>>")
-    needs = {"email": F.col("text").contains("@"), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("text").rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": F.col("text").contains("+"), "loose": F.col("text").rlike(r"[0-9]{3}[ .-][0-9]{4}")}
+    none = F.array().cast("array<struct<gap:int,before:string,after:string,m:string>>")
+    needs = {"email": F.col("text").contains("@"), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("text").rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": F.col("text").contains("+") | F.col("text").rlike(r"[0-9]{3}[ .-][0-9]{4}")}
     for name, pattern in PATTERNS.items():
         rows = rows.withColumn(name, F.when(needs[name], located(F.col("text"), pattern)).otherwise(none))
     for name in PATTERNS:
         rows = rows.withColumn(name, _placed(F.col(name)))
     rows = rows.withColumn("card", F.filter("card", lambda x: F.length(_digits(x["m"])).between(12, 19)))
-    rows = rows.withColumn("loose", F.filter("loose", lambda x: ~F.exists(F.col("phone"), lambda p: (p["start"] < x["start"] + F.length(x["m"])) & (x["start"] < p["start"] + F.length(p["m"])))))
 
-    def spans(column: str, kind: str):
+    def spans(kind: str):
         def one(x):
             base = _base(kind, x["m"])
-            votes = _votes(kind, F.col("text"), x["start"], x["m"], base)
-            return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (x["start"] + F.length(x["m"])).alias("end"), base.alias("base"), votes.cast("int").alias("votes"))
+            return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (x["start"] + F.length(x["m"])).alias("end"), base.alias("base"), _votes(kind, x, base).cast("int").alias("votes"))
 
-        return F.transform(column, one)
+        return F.transform(kind, one)
 
-    return rows.select("doc_id", F.array_sort(F.concat(spans("email", "email"), spans("ip", "ip"), spans("card", "card"), spans("phone", "phone"), spans("loose", "phone"))).alias("found"))
+    return rows.select("doc_id", F.array_sort(F.concat(*map(spans, KINDS))).alias("found"))
 
 
 def estimate(counts: dict[tuple[int, int], int], rounds: int = 100) -> dict[tuple[int, int], float]:
@@ -152,18 +163,23 @@ def estimate(counts: dict[tuple[int, int], int], rounds: int = 100) -> dict[tupl
 
 
 def train(counts: dict[tuple[int, int], int], rounds: int = 300) -> list[float]:
-    """Weights of the span classifier: votes, kinds, intercept; logistic regression on the estimated posteriors."""
-    post = estimate(counts)
-    width = len(LABELERS) + len(KINDS)
-    w, total = [0.0] * width, max(1, sum(counts.values()))
-    features = {x: [x[1] >> i & 1 for i in range(len(LABELERS))] + [int(x[0] == j) for j in range(len(KINDS))] for x in counts}
+    """Weights of the span classifier: votes, shape, kinds; logistic regression on the posteriors that the votes alone give.
+
+    counts: how often each (kind, bits of votes and shape) occurs."""
+    k, voted = len(LABELERS), {}
+    for (kind, bits), n in counts.items():
+        key = kind, bits & (1 << k) - 1
+        voted[key] = voted.get(key, 0) + n
+    post = estimate(voted)
+    seen = k + len(SHAPES)
+    w, total = [0.0] * (seen + len(KINDS)), max(1, sum(counts.values()))
+    features = {x: [i for i in range(seen) if x[1] >> i & 1] + [seen + x[0]] for x in counts}
     for _ in range(rounds):
         grad = [1e-3 * v for v in w]
         for x, n in counts.items():
-            f = features[x]
-            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(a * b for a, b in zip(w, f, strict=True))))))
-            for i, b in enumerate(f):
-                grad[i] += n / total * (p - post[x]) * b
+            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(w[i] for i in features[x])))))
+            for i in features[x]:
+                grad[i] += n / total * (p - post[x[0], x[1] & (1 << k) - 1])
         w = [a - 2.0 * g for a, g in zip(w, grad, strict=True)]
     return w
 
@@ -176,11 +192,12 @@ def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs (doc_id, text)."""
     found = materialize(proposals(docs), "proposals")
     votes = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").agg(F.count(F.lit(1)).alias("n"))
-    weights = train({(r["kind"], r["votes"]): r["n"] for r in votes.collect()})  # 4 kinds, 32 patterns of votes at most
+    weights = train({(r["kind"], r["votes"]): r["n"] for r in votes.collect()})  # 4 kinds, 1024 patterns of bits at most
+    bits = len(LABELERS) + len(SHAPES)
 
     def chosen(x):
-        z = sum((F.when(x["votes"].bitwiseAND(F.lit(1 << i)) > 0, F.lit(w)).otherwise(F.lit(0.0)) for i, w in enumerate(weights[: len(LABELERS)])), F.lit(0.0))
-        z = z + sum((F.when(x["kind"] == j, F.lit(w)).otherwise(F.lit(0.0)) for j, w in enumerate(weights[len(LABELERS) :])), F.lit(0.0))
+        z = sum((F.when(x["votes"].bitwiseAND(F.lit(1 << i)) > 0, F.lit(w)).otherwise(F.lit(0.0)) for i, w in enumerate(weights[:bits])), F.lit(0.0))
+        z = z + sum((F.when(x["kind"] == j, F.lit(w)).otherwise(F.lit(0.0)) for j, w in enumerate(weights[bits:])), F.lit(0.0))
         return x["base"] | (F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) >= accept)
 
     base = F.filter("found", lambda x: x["base"])
