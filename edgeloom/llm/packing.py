@@ -9,6 +9,7 @@ the very last bin is cut into sequences whose lengths are powers of two, which n
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each on their own; doc_id may be null;
 an empty table gives no pieces. A text of any length is tokenised in segments, cut only where no token can span the cut.
+Pieces of equal length keep their order. Extra columns are ignored whatever their names.
 """
 
 from __future__ import annotations

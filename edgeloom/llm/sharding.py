@@ -7,7 +7,7 @@ aggregate over a fine prefix gives all shallower sums, and only buckets that are
 Defined results: a null text counts 0 bytes. The hash covers the row's key and its text, so rows with one key part unless
 they are repeated rows; those share all 60 bits. A bucket that cannot split (one row, or repeated rows, over the limit) is
 divided by a running count of whole rows into pages; a single row beyond the limit has a page of its own. An empty table
-gives no rows.
+gives no rows. Extra columns travel in one struct whatever their names; a column named shard makes the folders' key _shard.
 """
 
 from __future__ import annotations
@@ -96,6 +96,8 @@ def _placed(rows: DataFrame, limit: int, *own: str) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Write docs as one folder of Parquet files per shard."""
-    placed = _placed(keyed(docs, F.struct(*docs.columns).alias("own")), limit, "own")
-    shard = F.concat_ws("-", "depth", "prefix", "page").alias("shard")
-    placed.select("own.*", shard).repartition("shard").write.partitionBy("shard").parquet(path)
+    name = "shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    placed = _placed(keyed(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")), limit, "own")
+    placed.select("own.*", F.concat_ws("-", "depth", "prefix", "page").alias(name)).repartition(name).write.partitionBy(name).parquet(path)

@@ -77,9 +77,65 @@ def test_reliabilities_are_found():
         votes = sum((rng.random() < (p if truth else 1 - p)) << i for i, p in enumerate((0.95, 0.9, 0.5, 0.9, 0.85)))
         counts[0, votes] = counts.get((0, votes), 0) + 1
     post = pii.estimate(counts)
-    assert post[0, 0b11111] > 0.99 if (0, 0b11111) in post else True
     assert post[0, 0b11011] > 0.95 and post[0, 0b00100] < 0.05
-    assert len(pii.train(counts)) == len(pii.LABELERS) + len(pii.KINDS)
+    assert len(pii.train(counts)) == len(pii.LABELERS) + len(pii.SHAPES) + len(pii.KINDS)
+
+
+def brute_personal(texts):
+    """Base and added spans, proposal by proposal in Python; the estimate is the operator's own."""
+    java = {k: p.replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", "").replace(r"\G", "") for k, p in pii.PATTERNS.items()}
+    found, counts = [], {}
+    for text in texts:
+        rows, text = [], text or ""
+        for n, kind in enumerate(pii.KINDS):
+            last, matches = 0, list(re.finditer(java[kind], text))
+            for m, then in zip(matches, [*matches[1:], None], strict=False):
+                digits = re.sub("[^0-9]", "", m[0])
+                before, after = text[last : m.start()][-pii.NEAR :], text[m.end() : then.start() if then else len(text)][:1]
+                last = m.end()
+                if kind == "card" and not 12 <= len(digits) <= 19:
+                    continue
+                base = holds(kind, m) and (kind != "phone" or m[0][0] == "+")
+                bits = [base, re.search(pii.GAZETTEER[kind], m[0]), re.search(pii.CONTEXT[kind], before), not re.search("[0-9A-Za-z_]", before[-1:] + " " + after), re.search("[0-9]{3,4}[ .-][0-9]{3,4}" if kind in ("card", "phone") else "[a-z]", m[0])]
+                bits += [re.search(p, m[0]) if p else re.search("[=:#/_@A-Za-z]$", before) for p in pii.SHAPES]
+                bits = sum(bool(b) << i for i, b in enumerate(bits))
+                counts[n, bits] = counts.get((n, bits), 0) + 1
+                rows.append((m.start(), n, m.end(), base, bits))
+        found.append(sorted(rows))
+    w, seen = pii.train(counts), len(pii.LABELERS) + len(pii.SHAPES)
+    chance = lambda n, bits: 1 / (1 + np.exp(-sum(w[i] for i in range(seen) if bits >> i & 1) - w[seen + n]))
+    return [",".join(f"{pii.KINDS[n]}:{a}:{b}" for a, n, b, base, bits in rows if base or chance(n, bits) >= pii.ACCEPT) for rows in found]
+
+
+def test_added_personal_data(spark):
+    """All spans equal a brute-force version's; planted numbers outside the base rules are found, codes and versions are not."""
+    rng = random.Random(12)
+    pick = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts, planted, others = [], [], []
+    for i in range(400):
+        local = f"{rng.choice('23456789')}{pick(2)}{rng.choice(' .-')}{pick(3)}-{pick(4)}"
+        body, kept = [(f"phone: {local} ok", local), (f"order {pick(20)} of v{rng.randrange(300, 999)}.2.{rng.randrange(400, 999)}.7", None), (f"mail me at ann{i}@mail.example.com or +1 {pick(3)} 555-{pick(4)}", None), (f"call +44 20 {pick(4)} {pick(4)} now", None)][i % 4]
+        texts.append(f"the heit {body} stand")
+        if kept:
+            planted.append((i, texts[-1].index(kept), texts[-1].index(kept) + len(kept)))
+        elif i % 4 == 1:
+            others.append(i)
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_personal(texts)
+    assert sum(f"phone:{a}:{b}" in got[i].split(",") for i, a, b in planted) >= 0.9 * len(planted)
+    assert not any(got[i] for i in others)
+
+
+def test_very_many_personal_data_in_one_text(spark):
+    """Time in proportion: 64,000 addresses in one text."""
+    import time
+
+    mails = [f"u{i}@x.org" for i in range(64_000)]
+    docs = spark.createDataFrame([(1, " ".join(mails))], DOCS)
+    began = time.time()
+    row = pii.personal_data(docs).first()
+    assert row["n_email"] == len(mails) and row["base_sha256"] == brute(" ".join(mails), ["email", "ip", "card", "phone"])[1]
+    assert time.time() - began < 60
 
 
 def test_secrets(spark):
@@ -125,7 +181,7 @@ def test_network_on_held_out_findings():
     net = secrets.train()
     windows, labels = secrets.findings(1500, seed=99)
     p = net.predict(secrets.encode(windows))
-    assert (p[labels > 0] >= net.threshold).mean() >= 0.85
+    assert (p[labels > 0] >= net.threshold).mean() >= secrets.RECALL
     assert (p[labels == 0] >= net.threshold).mean() <= 0.02
 
 
@@ -166,7 +222,7 @@ def test_grammar_reads_clauses():
     assert one("I will kill you! The idiot; not here.") == dict.fromkeys(toxicity.READINGS, 0) | {"threat_aimed": 1, "insult_bare": 1}
     assert one("BLORKING blorked. blor")["insult_bare"] == 1
     assert one("") == dict.fromkeys(toxicity.READINGS, 0)
-    assert g.score(g.readings("you idiot")) > g.score(g.readings("not an idiot")) > g.score([0] * 6)
+    assert g.score("you idiot") > g.score("not an idiot") > g.score("")
 
 
 def test_toxicity_cases(spark):
@@ -179,6 +235,47 @@ def test_toxicity_cases(spark):
     assert toxicity.score(docs.where("false"), g).count() == 0
 
 
+def test_toxicity_learns_from_odd_rows(spark):
+    """Repeated rows, several labels of one id, clashing columns, texts in a tie, a very long text."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("aeinrst") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(i, prose(60) + (f" blorkine{i % 7}." * 4 if i % 4 == 0 else "")) for i in range(400)]
+    rows += [rows[0], rows[0], (900, None), (None, "x"), (901, prose(200_000) + " blorkine3 you idiot")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("toxic", F.lit(5)).withColumn("h", F.lit("x")).withColumn("feature", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(0, 0), (1, None), (900, 0)], "doc_id long, toxic int").withColumn("text", F.lit("t"))
+    g = toxicity.train(docs, labels)
+    assert any("blorkine".startswith(s) for s in g.stems) and not any("aeinrst".startswith(s) for s in g.stems)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, g).collect()}
+    assert min(got[i] for i in range(0, 400, 4)) > 0.7 > max(got[i] for i in range(1, 400) if i % 4)
+    assert got[901] < 0.7 and toxicity.score(docs, g).count() == len(rows)
+
+
+def test_composition_is_the_product():
+    """The composed machine says of every clause what its five parts say on their own."""
+    rng = random.Random(4)
+    parts = [toxicity._heads(toxicity.INSULT, toxicity.INSULT), toxicity._heads(toxicity.THREAT, toxicity.THREAT), toxicity._cues(toxicity.TARGET, 5, 5, 4, 32), toxicity._cues(toxicity.NEGATION, 4, 0, 8, 0), toxicity._cues(toxicity.REPORT, 12, 4, 16, 64)]
+    arcs = toxicity.grammar_machine().arcs
+    for _ in range(300):
+        word_tags = [rng.choice([0, 0, 0, 1, 2, 4, 8, 16, 5, 9]) for _ in range(rng.randrange(30))]
+        state, states = 0, [0] * len(parts)
+        for tags in word_tags:
+            state, out = arcs[state][tags]
+            said = 0
+            for i, p in enumerate(parts):
+                states[i], o = p.arcs[states[i]][tags]
+                said |= o
+            assert out == said
+
+
+def test_scope_of_cues():
+    g = toxicity.Grammar()
+    one = lambda text: [r for r, n in zip(toxicity.READINGS, g.readings(text), strict=True) if n]
+    assert one("not in any of these words idiot") == ["insult_bare"]  # the negation's scope has ended
+    assert one("idiot that you are") == ["insult_aimed"]
+    assert one("idiot, she said") == ["insult_reported"]
+    assert one("moron of a house by the lake with a view, he") == ["insult_bare"]  # the target is too far
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 16):
@@ -204,6 +301,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.url_key("HTTP://www.B.example.com/X?q=1") == "com,example,b)/x?q=1"
 
 
+def test_warc_odd_pages(spark, tmp_path):
+    """URLs that cannot be parsed, page ids of any size, a very long payload, repeated rows, clashing columns; entries lead to their records."""
+    long_text = "<p>" + "é" * 3_000_000
+    rows = [(1, "http://[x/y", "a"), (10**15, "http://[x/y", "b"), (2 * 10**12, "", long_text), (-5, "http://a.b:99999999/", ""), (7, "http://a.b/", long_text), (7, "http://a.b/", long_text), (2**62, "x", "c")] + [(i, "http://hot.example/", str(i)) for i in range(100, 400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("doc_id", F.lit(2)).repartition(3)
+    path = warc.write(pages, f"file://{tmp_path}/w")
+    df = warc.index(spark, path, range_rows=50)
+    got = df.collect()
+    assert df.rdd.getNumPartitions() > 3 and len(got) == len(rows)
+    keys = [(r["url_key"], r["timestamp"], r["page_id"]) for r in got]
+    assert keys == sorted(keys) and all(len(r["timestamp"]) == 20 for r in got)
+    for r in got:
+        data = (tmp_path / "w" / r["archive"]).read_bytes()[r["offset"] :]
+        assert data.startswith(b"WARC/1.1\r\n") and f"<urn:page:{r['page_id']}>".encode() in data[:300]
+    by = {r["page_id"]: (r["type"], r["refers_to"]) for r in got}
+    assert by[7] == ("revisit", 2 * 10**12) and by[2 * 10**12] == ("response", None)
+
+
 def test_shards_keep_their_limit(spark):
     rng = random.Random(4)
     rows = [(i, "x" * rng.randrange(200)) for i in range(800)] + [(900, "y" * 5000), (None, None), (901, "")]
@@ -243,7 +358,7 @@ def test_licenses(spark):
     mit = licenses.KNOWN["MIT"][0]
     rows = [(1, "Copyright (c) 2020 Jane Doe\n\n" + mit.upper()), (2, mit.replace(", ", " , ").replace("sublicense", "sub-license")), (3, mit + " And more."), (4, None), (5, "text\nLicensed under CC BY-NC 4.0.\nThis work is LICENCED under the GNU General Public License -- version 2\nend"), (6, "")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("license", F.lit("x")).withColumn("digest", F.lit("y"))
-    got = {r["doc_id"]: (r["license"], r["line_licenses"]) for r in licenses.scan(docs).collect()}
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(docs).collect()}
     assert got == {1: ("MIT", "MIT"), 2: ("MIT", "MIT"), 3: (None, ""), 4: (None, ""), 5: (None, "CC-BY-NC-4.0,GPL-2.0-only"), 6: (None, "")}
     assert licenses.scan(docs.where("false")).count() == 0
 
@@ -251,10 +366,19 @@ def test_licenses(spark):
 def test_every_known_text_is_found_as_a_line(spark):
     known = [(name, text) for name, texts in licenses.KNOWN.items() for text in texts]
     docs = spark.createDataFrame([(i, f"some prose\n  {text}\nmore prose") for i, (_, text) in enumerate(known)], DOCS)
-    got = {r["doc_id"]: r["line_licenses"] for r in licenses.scan(docs).collect()}
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan(docs).collect()}
     assert got == {i: name for i, (name, _) in enumerate(known)}
 
 
+def test_wrapped_notices_are_found_as_paragraphs(spark):
+    """Known texts broken over lines, in capitals, between other paragraphs; and in a very long text."""
+    known = [(name, text) for name, texts in licenses.KNOWN.items() for text in texts]
+    rows = [(i, f"Some prose.\n\n{textwrap.fill(text.upper(), 70)}\n \t\nMore prose.") for i, (_, text) in enumerate(known)]
+    rows.append((999, "prose of no licence\n" * 200_000 + "\n" + textwrap.fill(known[0][1], 70)))
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: (None, name) for i, (name, _) in enumerate(known)} | {999: (None, known[0][0])}
+
+
 def test_whole_licence_files(spark):
     """Titled files with a copyright line, and real files of this machine, flowed too."""
     mit = licenses.KNOWN["MIT"][0].replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")

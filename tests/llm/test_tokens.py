@@ -5,7 +5,6 @@ import random
 import re
 import zlib
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from edgeloom.llm import decontaminate, packing
@@ -152,4 +151,14 @@ def test_automaton_is_whole():
     hit, items = __import__("numpy").zeros(3, bool), set()
     sam.scan([b"b", b"c", b"a"], hit, items)
     assert items == {2} and hit.all()
-    assert pa.__version__
+
+
+def test_automaton_of_repeated_words_is_linear():
+    """One word 40,000 times: every state's window is found once."""
+    import time
+
+    began = time.time()
+    sam = decontaminate.Automaton([(1, b"a " * 40_000)])
+    hit, items = __import__("numpy").zeros(20_000, bool), set()
+    sam.scan([b"a"] * 20_000, hit, items)
+    assert items == {1} and hit.all() and time.time() - began < 10
