@@ -1,15 +1,16 @@
 """Secret scan with a character convolutional network in numpy.
 
-Regular expressions propose candidates: the base rules, and any long run of key-like characters. Every run that does not lie
-within a base span goes with its surrounding context through a small character network (embedding, one convolution, maximum
-over positions, logistic output). It is trained here, on labelled findings made by a seeded generator (keys and tokens of many
-shapes in assignments and prose; words, numbers, paths, hashes of versions and identifiers as negatives), and its threshold is
-calibrated on held-out findings: the highest that keeps the demanded recall. Base spans need no score: they stay whatever it
-says, beside a longer run that overlaps them.
+Regular expressions propose candidates: the base rules' spans, and any long run of key-like characters. Every candidate goes
+with its surrounding context through a small character network (embedding, one convolution, maximum over positions, logistic
+output). It is trained here, on labelled findings made by a seeded generator (keys and tokens of many shapes in assignments
+and prose; words, identifiers, numbers, paths, slugs, UUIDs and rulers as negatives), and its threshold is calibrated on
+held-out findings: the highest that keeps the demanded recall there with some room for chance. A calibration that cannot keep
+it stops. Base spans stay whatever their score; n_doubtful counts those that score below the threshold. Runs that reach beyond
+a base span are told beside it; runs within one are told by it.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results; doc_id may be null; an empty table gives
-no rows. Extra columns are ignored. A run longer than LONGEST characters is read whole, by overlapping windows and by its parts
-between slashes and equals signs, each in the run's context; its score is the highest of them.
+no rows. Extra columns are ignored whatever their names. A run longer than LONGEST characters is read whole, by overlapping
+windows and by its parts between slashes and equals signs, each in the run's context; its score is the highest of them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ UNCALIBRATED = 0.9  # the threshold of a network that saw no held-out secrets
 WIDTH, LONGEST, BEFORE, AFTER = 96, 56, 32, 8
 STEP = 16  # between the windows of a long run: a key of up to LONGEST - STEP characters stands whole in one of them
 CHUNK = 4096  # windows that are scored at once, so that a text of any length takes bounded memory
-FINDINGS = 6000  # labelled findings the network is trained on: a bound, not a share of the input
+FINDINGS = 12_000  # labelled findings the network is trained and calibrated on: a bound, not a share of the input
+AMID = 0.15  # share of findings that are slices of a longer run
+HELD_OUT = 3  # every so many findings go to the calibration
 
 #: The base rules.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -142,9 +145,15 @@ class Network:
                     self.p[k] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
     def calibrate(self, codes, labels, recall: float = RECALL) -> float:
-        """The highest threshold that keeps the demanded recall on these findings."""
+        """The highest threshold that keeps the demanded recall on these findings, two standard errors of the recall included."""
         own = np.sort(self.predict(codes)[labels > 0])
-        self.threshold = float(own[int((1 - recall) * len(own))]) if len(own) else UNCALIBRATED
+        if not len(own):
+            self.threshold = UNCALIBRATED
+            return self.threshold
+        missed = (1 - recall) * len(own) - 2 * (recall * (1 - recall) * len(own)) ** 0.5
+        self.threshold = float(own[max(0, int(missed))])
+        if (own >= self.threshold).mean() < recall:
+            raise RuntimeError(f"no threshold keeps a recall of {recall}")
         return self.threshold
 
 
@@ -157,22 +166,57 @@ def findings(n: int = FINDINGS, seed: int = 5) -> tuple[list[str], np.ndarray]:
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 5)))
     prose = lambda k: " ".join(word() for _ in range(k))
 
+    name = lambda: rng.choice(["token", "secret", "password", "api_key", "key", "auth", "id", "value", "name"])
+    quote = chr(34)
+
+    def lead(likely: float):
+        if rng.random() < likely:
+            return rng.choice([f"{name()}{rng.choice([' = ', ': ', '='])}{rng.choice(['', quote])}", "Authorization: Bearer "])
+        return prose(3) + " "
+
     def secret():
-        kind = rng.randrange(6)
-        body = ("AKIA" + pick(up + num, 16), pick(low + up + num + "+/", 40), "ghp_" + pick(low + up + num, 36), pick("0123456789abcdef", rng.choice([32, 40, 64])), "sk_live_" + pick(low + up + num, 24), pick(low + up + num + "-_", rng.randint(24, 60)))[kind]
-        lead = rng.choice([f"{rng.choice(['token', 'secret', 'password', 'api_key', 'key', 'auth'])}{rng.choice([' = ', ': ', '='])}{rng.choice(['', chr(34)])}", prose(3) + " ", "Authorization: Bearer "])
-        return lead, body
+        kind = rng.randrange(9)
+        body = ("AKIA" + pick(up + num, 16), pick(low + up + num + "+/", 40), "ghp_" + pick(low + up + num, 36), pick("0123456789abcdef", rng.choice([32, 40, 64])), "sk_live_" + pick(low + up + num, 24), pick(low + up + num + "-_", rng.randint(24, 60)), "eyJ" + pick(low + up + num + "-_", rng.randint(30, 50)), pick("0123456789ABCDEF", rng.choice([32, 40])), pick(low + up + num + "+/", rng.choice([42, 43])) + "=")[kind]
+        return lead(0.6), body
+
+    camel = lambda k: "".join(word().capitalize() for _ in range(k))
+    hexa = "0123456789abcdef"
 
     def plain():
-        kind = rng.randrange(7)
-        body = ("".join(word() for _ in range(8))[:60].ljust(20, "n"), "-" * rng.randint(20, 60), "=" * rng.randint(20, 60), pick(num, rng.randint(20, 40)), "/".join(word() for _ in range(6)).ljust(20, "e"), "_".join(word() for _ in range(5)).ljust(20, "r"), "-".join(word() for _ in range(5)).ljust(20, "s"))[kind]
-        return prose(3) + " ", body[:60].upper() if rng.random() < 0.15 else body[:60]
+        kind = rng.randrange(15)
+        body = (
+            "".join(word() for _ in range(8)),
+            "-" * rng.randint(20, 60),
+            "=" * rng.randint(20, 60),
+            pick(num, rng.randint(20, 40)),
+            "/".join(word() for _ in range(6)),
+            "_".join(word() for _ in range(5)),
+            "-".join(word() for _ in range(5)),
+            camel(5) + rng.choice(["", pick(num, rng.randint(1, 3))]),
+            word() + camel(4),
+            "/" + "/".join(rng.choice([word(), word() + pick(num, 2), pick(num, 4)]) for _ in range(6)),
+            "-".join(rng.choice([word(), word(), pick(num, rng.randint(1, 4))]) for _ in range(7)),
+            "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)),
+            "_".join(word().upper() for _ in range(4)) + f"_{rng.randrange(100)}",
+            f"{rng.randrange(1990, 2030)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}T{pick(num, 6)}-{pick(num, 6)}",
+            (rng.choice(low + up + num) * rng.randint(1, 3) + rng.choice(["", word()])) * 20,
+        )[kind]
+        body = body if len(body) >= 20 else body.ljust(20, rng.choice("ners"))
+        return lead(0.25), body[:60].upper() if rng.random() < 0.1 else body[:60]
+
+    def amid(body: str) -> str:
+        """A slice of a longer run of rulers around what stands in it."""
+        ruler, room = rng.choice("--==_+"), max(0, LONGEST - len(body))
+        at = rng.randint(0, room)
+        return (ruler * at + body + ruler * (room - at))[:LONGEST]
 
     windows, labels = [], []
     for i in range(n):
-        lead, body = secret() if i % 2 else plain()
-        text = prose(4) + " " + lead + body + rng.choice(['"', " ", ". ", "\n"]) + prose(2)
-        start = text.index(body, len(text) - len(text.split(body, 1)[-1]) - len(body)) if body in text else 0
+        front, body = secret() if i % 2 else plain()
+        if rng.random() < AMID:
+            body = amid(body[:44] if i % 2 else rng.choice([body[:30], "".join(word() for _ in range(rng.randint(0, 4)))[:40]]))
+        front = f"{prose(4)} {front}"
+        text, start = front + body + rng.choice(['"', " ", ". ", "\n"]) + prose(2), len(front)
         windows.append(window(text, start, start + len(body)))
         labels.append(i % 2)
     return windows, np.array(labels, np.float32)
@@ -181,10 +225,10 @@ def findings(n: int = FINDINGS, seed: int = 5) -> tuple[list[str], np.ndarray]:
 def train(seed: int = 7) -> Network:
     windows, labels = findings()
     codes = encode(windows)
-    cut = len(codes) * 4 // 5
+    held = np.arange(len(codes)) // 2 % HELD_OUT == 0  # labels alternate
     net = Network(seed)
-    net.fit(codes[:cut], labels[:cut])
-    net.calibrate(codes[cut:], labels[cut:])
+    net.fit(codes[~held], labels[~held])
+    net.calibrate(codes[held], labels[held])
     return net
 
 
@@ -196,7 +240,7 @@ def added_kind(body: str) -> int:
     return 1 if body.isupper() and body.isalnum() else 2 if re.fullmatch("[0-9a-fA-F]+", body) else 0
 
 
-_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long"
+_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, n_doubtful long"
 
 
 def _highest(net: Network, windows) -> list[float]:
@@ -213,7 +257,7 @@ def _highest(net: Network, windows) -> list[float]:
 def _scan(network):
     def run(batches):
         net = network.value
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
         for batch in batches:
             rows, texts, open_ = [], [], []
             for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
@@ -221,22 +265,26 @@ def _scan(network):
                 base = base_spans(text)
                 rows.append((doc, base))
                 texts.append(text)
+                open_ += [(i, a, b, k, True) for a, k, b in base]
                 far, at, reach = sorted((a, b) for a, _, b in base), 0, 0
                 for m in TOKEN.finditer(text):
                     while at < len(far) and far[at][0] <= m.start():
                         reach, at = max(reach, far[at][1]), at + 1
-                    if reach < m.end():  # no base span holds the whole run
-                        open_.append((i, m.start(), m.end(), added_kind(m[0])))
-            scores = _highest(net, ((k, w) for k, (i, a, b, _) in enumerate(open_) for w in windows_of(texts[i], a, b)))
+                    if reach < m.end():  # no base span, scored above, holds the whole run
+                        open_.append((i, m.start(), m.end(), added_kind(m[0]), False))
+            scores = _highest(net, ((k, w) for k, (i, a, b, *_) in enumerate(open_) for w in windows_of(texts[i], a, b)))
             extra: dict[int, list] = {}
-            for (i, a, b, kind), p in zip(open_, scores, strict=True):
-                if p >= net.threshold:
+            doubtful = [0] * len(rows)
+            for (i, a, b, kind, known), p in zip(open_, scores, strict=True):
+                if known:
+                    doubtful[i] += p < net.threshold
+                elif p >= net.threshold:
                     extra.setdefault(i, []).append((a, kind, b))
             out = []
             for i, (doc, base) in enumerate(rows):
                 count = [sum(k == j for _, k, _ in base) for j in range(3)]
                 more = extra.get(i, [])
-                out.append((doc, *count, hashlib.sha256(_line(base).encode()).hexdigest(), _line(sorted(base + more)), len(more)))
+                out.append((doc, *count, hashlib.sha256(_line(base).encode()).hexdigest(), _line(sorted(base + more)), len(more), doubtful[i]))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
 
@@ -244,7 +292,7 @@ def _scan(network):
 
 
 def scan(docs: DataFrame, network: Network | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added for every row of docs (doc_id, text)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_doubtful for every row of docs (doc_id, text)."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network or train())
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(shared), _SCHEMA)
