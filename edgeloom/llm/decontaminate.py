@@ -8,7 +8,8 @@ The automaton's size is checked: items are dealt into automata of at most ITEM_B
 every automaton in turn, their hits being merged. One automaton is the usual case.
 
 Defined results: null and empty texts have no words, so nothing is hit; an item without words has no window; repeated items
-and rows count each on their own; an empty benchmark leaves every document clean. Extra columns are ignored.
+and rows count each on their own; an empty benchmark leaves every document clean. Rows keep their own texts whatever their
+ids, null ones included. Very long texts and items take time in proportion. Extra columns go through as they are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import materialize, ship
 
 WINDOW = 13
 SHARE = 20  # contaminated when SHARE * hit words >= words
-ITEM_BYTES = 8 << 20
+ITEM_BYTES = 4 << 20  # of one automaton: some 40 bytes of memory each, a few times that while it is built on the driver
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -46,6 +48,7 @@ class Automaton:
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
+        self.bases = array("i")
         numbered = []
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
@@ -57,6 +60,7 @@ class Automaton:
             for c in ids:
                 last = self._extend(last, c)
         self._mark(numbered)
+        self._pack()
 
     def _new(self, length: int, follow: dict, link: int) -> int:
         self.next.append(follow)
@@ -97,35 +101,58 @@ class Automaton:
                     self.holders.setdefault(self.base(state), set()).add(item)
             if len(ids) < self.window:
                 self.whole.setdefault(state, []).append((item, len(ids)))
-        self.chain = [-1] * len(self.next)  # the nearest suffix, itself included, with short items
-        for state in sorted(range(len(self.next)), key=self.length.__getitem__):
+        self.chain = array("i", [-1]) * len(self.next)  # the nearest suffix, itself included, with short items
+        for state in self._by_length():
             self.chain[state] = state if state in self.whole else self.chain[self.link[state]] if state else -1
 
+    def _by_length(self) -> list[int]:
+        return sorted(range(len(self.next)), key=self.length.__getitem__)
+
     def base(self, state: int) -> int:
-        """The suffix state that holds the last window of a state's strings."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
+        """The suffix state that holds the last window of a state's strings; found once for every state."""
+        if not self.bases:
+            self.bases = array("i", range(len(self.next)))
+            for s in self._by_length():
+                if self.length[self.link[s]] >= self.window and s:
+                    self.bases[s] = self.bases[self.link[s]]
+        return self.bases[state]
+
+    def _pack(self) -> None:
+        """Nearly all states have one arc: its word and its end go to arrays, the others stay in dictionaries."""
+        self.base(0)
+        self.word, self.to = (array("i", [-1]) * len(self.next) for _ in range(2))
+        self.more: dict[int, dict[int, int]] = {}
+        for state, arcs in enumerate(self.next):
+            if len(arcs) == 1:
+                ((self.word[state], self.to[state]),) = arcs.items()
+            elif arcs:
+                self.more[state] = arcs
+        self.next = []
+        self.link, self.length = array("i", self.link), array("i", self.length)
 
     def match(self, ids: list[int], at: int, hit: np.ndarray, items: set) -> None:
         """Stream the known words from position at on; note hit words and items."""
-        state, length = 0, 0
+        state, length, none = 0, 0, {}
+        word, to, more, link = self.word, self.to, self.more, self.link
         for i, c in enumerate(ids, at):
-            while state and c not in self.next[state]:
-                state = self.link[state]
+            while True:
+                then = to[state] if word[state] == c else more.get(state, none).get(c, -1)
+                if then >= 0 or not state:
+                    break
+                state = link[state]
                 length = self.length[state]
-            if c in self.next[state]:
-                state, length = self.next[state][c], length + 1
+            if then >= 0:
+                state, length = then, length + 1
             if length >= self.window:
                 hit[i - self.window + 1 : i + 1] = True
-                items |= self.holders.get(self.base(state), set())
+                items |= self.holders.get(self.bases[state], set())
             short = self.chain[state]
             while short > 0:
                 for item, n in self.whole[short]:
                     if n <= length:
                         hit[i - n + 1 : i + 1] = True
                         items.add(item)
-                short = self.chain[self.link[short]]
+                short = self.chain[link[short]]
 
     def scan(self, found: list[bytes], hit: np.ndarray, items: set) -> None:
         ids = np.fromiter(map(self.vocabulary.get, found, itertools.repeat(-1)), np.int64, len(found))
