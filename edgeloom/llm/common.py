@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["UPPER", "LOWER", "among", "ascii_lower", "discard", "fresh", "is_empty", "materialize", "scratch", "ship", "table", "without_redundant", "written"]
+__all__ = ["UPPER", "LOWER", "among", "ascii_lower", "discard", "fresh", "materialize", "scratch", "ship", "table", "without_redundant", "written"]
 
 _roots: dict[str, str] = {}
 
@@ -50,15 +50,22 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Write to a scratch path and read back."""
+#: rows of a scratch table for which one more file is worth while; each file costs a task, and on a local disk several processes
+FILE_ROWS = 1 << 12
+
+
+def written(df: DataFrame, path: str, most: int | None = None, a_file: int = FILE_ROWS) -> DataFrame:
+    """Write to a scratch path and read back. Where the caller knows that df's last stage reads and gives at most so many rows or
+    so, a small table becomes two files a core at most, however many partitions the shuffle before it has."""
+    if most is not None:
+        df = df.coalesce(min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, 1 + most // a_file)))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, most: int | None = None, a_file: int = FILE_ROWS) -> DataFrame:
     """Write once into the shared scratch folder and read back: cuts lineage and statistics, survives lost executors."""
-    return written(df, fresh(df.sparkSession, name))
+    return written(df, fresh(df.sparkSession, name), most, a_file)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -100,7 +107,3 @@ def without_redundant(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
-
-
-def is_empty(df: DataFrame) -> bool:
-    return not df.limit(1).count()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, discard, fresh, is_empty, materialize, ship, without_redundant, written
+from .common import among, discard, fresh, materialize, ship, without_redundant, written
 from .components import components, stars
 
 WORDS = 5
@@ -385,28 +385,29 @@ def _sets(clashes):
 
 
 class _Join:
-    """What the steps share: the rows (doc_id, xh, text), the classes with a representative row each, clashing hashes."""
+    """What the steps share: the rows (doc_id, xh, text; so many), the classes with a representative row each, clashing hashes."""
 
-    def __init__(self, rows: DataFrame, classes: DataFrame, clashes: frozenset):
-        self.rows, self.classes, self.clashes, self.tried = rows, classes, clashes, None
+    def __init__(self, rows: DataFrame, many: int, classes: DataFrame, clashes: frozenset):
+        self.rows, self.many, self.classes, self.clashes, self.tried, self.n_tried = rows, many, classes, clashes, None, 0
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of classes that are similar; pairs that were verified before are left out.
+    def verified(self, pairs: DataFrame, most: int) -> DataFrame:
+        """Those of the pairs (a, b) of classes, at most so many, that are similar; pairs that were verified before are left out.
 
         Only texts of representatives that a pair names leave the scan (``among``), and only they are shuffled."""
         spark = pairs.sparkSession
-        pairs = materialize(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "candidates")
+        pairs = materialize(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "candidates", most + self.n_tried)
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        if is_empty(pairs):
+        if not (n := pairs.count()):
             return pairs
+        self.n_tried += n
         chosen, sets = fresh(spark, "representatives"), fresh(spark, "sets")
         wanted = pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct()
-        named = written(wanted.join(self.classes, "g").select(F.col("rep").alias("doc_id"), F.col("rep_xh").alias("xh")), chosen)
+        named = written(wanted.join(self.classes, "g").select(F.col("rep").alias("doc_id"), F.col("rep_xh").alias("xh")), chosen, 2 * n + self.many)
         found = among(self.rows, named, "wanted").where("wanted").select("text").mapInArrow(_sets(self.clashes), "g long, body binary")
-        bodies = written(found.join(wanted, "g", "left_semi").dropDuplicates(["g"]), sets)
+        bodies = written(found.join(wanted, "g", "left_semi").dropDuplicates(["g"]), sets, 2 * n + self.many // 16, AT_ONCE)
         right = pairs.join(bodies.select(F.col("g").alias("b"), F.col("body").alias("right")), "b")
         both = right.join(bodies.select(F.col("g").alias("a"), F.col("body").alias("left")), "a")
-        found = materialize(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"), "similar")
+        found = materialize(both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"), "similar", n, AT_ONCE)
         for path in (chosen, sets):  # what came of them is written
             discard(spark, path)
         return found
@@ -423,19 +424,20 @@ def _needed(n1, n2):
     return F.ceil(F.lit(NUM) * (n1 + n2) / (NUM + DEN)) - rest
 
 
-def _short_pairs(found: DataFrame, entries: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of groups (x, y) of short lists that can be similar, with the groups' numbers of members (mx, my); and these numbers."""
+def _short_pairs(found: DataFrame, entries: DataFrame, groups: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of groups (x, y) of short lists that can be similar, with the groups' numbers of members (mx, my); and these numbers.
+    There are at most so many groups."""
     inlong = entries.groupBy("gp").agg(F.count(F.lit(1)).alias("l"))
     info = groups.groupBy("gp").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n")).join(inlong, "gp", "left").select("gp", "m", "n", F.coalesce("l", F.lit(0)).alias("l"))
-    info = materialize(info, "group-sizes")
+    info = materialize(info, "group-sizes", most)
     met = found.where(F.col("kind") == PAIR).groupBy("x", "y").agg(F.sum("v").alias("v")).where(F.col("v") >= 1 << 32)
     met = met.join(info.selectExpr("gp x", "m mx", "n nx", "l lx"), "x").join(info.selectExpr("gp y", "m my", "n ny", "l ly"), "y")
     shared = F.col("v").bitwiseAND(F.lit((1 << 32) - 1)) + F.least("lx", "ly")
     return met.where(shared >= _needed(F.col("nx"), F.col("ny"))).select("x", "y", "mx", "my"), info
 
 
-def _open_lists(entries: DataFrame, comp: DataFrame) -> tuple[DataFrame, dict]:
-    """The entries (token, g, n, pos) of lists that hold two components or more, with the component c, whether it is the
+def _open_lists(entries: DataFrame, comp: DataFrame, most: int) -> tuple[DataFrame, dict]:
+    """The entries (token, g, n, pos; at most so many) of lists that hold two components or more, with the component c, whether it is the
     list's largest, and the list's rows k and how many of them are not in the largest (odd). And the sums over all lists."""
     placed = entries.select("token", "g", "n", "pos").join(comp.select(F.col("node").alias("g"), "root"), "g", "left").select("token", "g", "n", "pos", F.coalesce("root", "g").alias("c"))
     sizes = placed.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
@@ -443,7 +445,7 @@ def _open_lists(entries: DataFrame, comp: DataFrame) -> tuple[DataFrame, dict]:
     # a list has more than SHORT rows, nearly always; its verdict is copied so that a hot list is not one task
     largest = largest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     placed = placed.withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(SALTS)).cast("int"))
-    left = materialize(placed.join(largest, ["token", "salt"]).withColumn("in_top", F.col("c") == F.col("top")).drop("top", "salt"), "open-lists")
+    left = materialize(placed.join(largest, ["token", "salt"]).withColumn("in_top", F.col("c") == F.col("top")).drop("top", "salt"), "open-lists", most)
     sums = left.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(~F.col("in_top"), F.col("k"))).alias("pairs")).first()
     return left, {"rows": sums["rows"], "pairs": sums["pairs"] or 0}
 
@@ -572,13 +574,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("xh"))
     first = materialize(rows.mapInArrow(_classes, "doc_id long, xh long, n long, g long, check long, slice int, counts binary"), "classes")
+    many = first.count()  # this and the sums below only bound the number of files of what follows
     members = first.where("n is not null").select("doc_id", "xh", "n", "g", "check")
     met = members.where("n > 0").groupBy("g").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
     clashes = frozenset(r["g"] for r in met.select("g").collect())  # two sets of one 64-bit hash: none up to some 10^9 sets, a few dozen at 10^11
     if clashes:
         members = members.withColumn("g", F.when(F.col("g").isin(list(clashes)), F.col("check")).otherwise(F.col("g")))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xh")).alias("r")
-    classes = materialize(members.where("n > 0").groupBy("g").agg(head, F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).selectExpr("g", "r.doc_id rep", "r.xh rep_xh", "least", "c"), "class-sizes")
+    classes = materialize(members.where("n > 0").groupBy("g").agg(head, F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).selectExpr("g", "r.doc_id rep", "r.xh rep_xh", "least", "c"), "class-sizes", many)
 
     counted = first.where("slice is not null").select("slice", "counts").repartition("slice").sortWithinPartitions("slice")
     counts = np.zeros(1 << COUNT_BITS, np.uint64)
@@ -588,37 +591,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     index = rows.select("text").mapInArrow(_postings(table, clashes), _INDEX).repartition("key").sortWithinPartitions("key", "gp")
     found = materialize(index.mapInArrow(_lists, _FOUND), "lists")
-    groups = materialize(found.where(F.col("kind") == GROUP).select(F.col("x").alias("gp"), F.col("y").alias("g"), F.col("v").alias("n"), "bits").dropDuplicates(["g"]), "groups")
+    many_of = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}  # three kinds
+    groups = materialize(found.where(F.col("kind") == GROUP).select(F.col("x").alias("gp"), F.col("y").alias("g"), F.col("v").alias("n"), "bits").dropDuplicates(["g"]), "groups", many_of.get(GROUP, 0))
     place = [F.shiftright("v", 32).cast("int").alias("n"), F.col("v").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")]
-    entries = materialize(found.where(F.col("kind") == ENTRY).select(F.col("x").alias("token"), F.col("y").alias("gp"), *place).distinct(), "entries")
+    entries = materialize(found.where(F.col("kind") == ENTRY).select(F.col("x").alias("token"), F.col("y").alias("gp"), *place).distinct(), "entries", many_of.get(ENTRY, 0))
 
-    join = _Join(rows, classes, clashes)
-    pairs, sizes = _short_pairs(found, entries, groups)
-    pairs = materialize(pairs, "group-pairs")
-    few, names = F.col("mx") * F.col("my") <= SHORT * SHORT, groups.select("gp", "g")
+    join = _Join(rows, many, classes, clashes)
+    pairs, sizes = _short_pairs(found, entries, groups, many_of.get(GROUP, 0))
+    pairs = materialize(pairs, "group-pairs", many_of.get(PAIR, 0) + many_of.get(GROUP, 0))
+    both = F.col("mx") * F.col("my")
+    few, names = both <= SHORT * SHORT, groups.select("gp", "g")
     expanded = pairs.where(few).join(names.selectExpr("gp x", "g u"), "x").join(names.selectExpr("gp y", "g w"), "y").select(*_pair(F.col("u"), F.col("w")))
     crowds = groups.join(sizes.where("m > 1").select("gp", "m"), "gp").select("gp", "m", "g", "n")
     small = crowds.where(F.col("m") <= SHORT)
     inner = small.selectExpr("gp", "g u").join(small.selectExpr("gp", "g w"), "gp").where("u < w").select(F.col("u").alias("a"), F.col("w").alias("b"))
-    comp = stars(join.verified(expanded.unionByName(inner).distinct()))
+    m = F.col("m")
+    of_groups = sizes.agg(F.sum(F.when((m > 1) & (m <= SHORT), m * m)).alias("inner"), F.sum(m * F.col("l") + F.when(m > SHORT, m).otherwise(0)).alias("listed")).first()
+    of_pairs = pairs.agg(F.sum(F.when(few, both)).alias("expanded"), F.sum(F.when(~few, F.col("mx") + F.col("my"))).alias("listed")).first()
+    comp = stars(join.verified(expanded.unionByName(inner).distinct(), (of_pairs["expanded"] or 0) + (of_groups["inner"] or 0)))
 
     # large groups, and pairs of groups with many members, are lists of their own
     lists = entries.join(names, "gp").select("token", "g", "n", "pos")
     alone = crowds.where(F.col("m") > SHORT).select(F.col("gp").alias("token"), "g", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
     ends = pairs.where(~few).select(F.xxhash64("x", "y").alias("token"), F.explode(F.array("x", "y")).alias("gp"))
     crossed = ends.join(groups.select("gp", "g", "n"), "gp").select("token", "g", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
-    left, before = materialize(lists.unionByName(alone).unionByName(crossed), "long-lists"), None
+    listed, before = (of_groups["listed"] or 0) + (of_pairs["listed"] or 0), None
+    left = materialize(lists.unionByName(alone).unionByName(crossed), "long-lists", listed + many_of.get(GROUP, 0))
     for turn in range(1 << 10):
-        left, size = _open_lists(left, comp)
+        left, size = _open_lists(left, comp, listed)
         if size["pairs"] <= PAIRS_PER_ROW * size["rows"] or (before is not None and size["pairs"] > PROGRESS * before):
             break
         before = size["pairs"]
-        comp = stars(_edges(comp).unionByName(join.verified(_neighbours(left, groups, turn))))
-    comp = components(_edges(comp).unionByName(join.verified(_cross_pairs(left, groups))))
+        comp = stars(_edges(comp).unionByName(join.verified(_neighbours(left, groups, turn), NEAREST * size["rows"])))
+    comp = components(_edges(comp).unionByName(join.verified(_cross_pairs(left, groups), size["pairs"])))
 
     roots = comp.select(F.col("node").alias("g"), "root")
     joined = classes.join(roots, "g", "left").where("c > 1 or root is not null").select("g", F.coalesce("root", "g").alias("root"), F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_xh").alias("r"), "least")
-    joined = materialize(joined, "joined")
+    joined = materialize(joined, "joined", many)
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.min("r").alias("head")), "root")
     named = named.select("g", "component_id", "head.rep", "head.rep_xh", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "xh"), F.lit(SALTS)).cast("int"))

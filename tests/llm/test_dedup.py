@@ -183,6 +183,31 @@ def test_ngram_join_chains(spark, seed):
     assert sorted(r["doc_id"] for r in kept) == sorted({c for _, _, c in brute_components(rows)})
 
 
+def test_small_steps_write_few_files(spark):
+    """A step whose few rows are dealt over many partitions writes some files a core, not one per partition, and loses nothing."""
+    from pathlib import Path
+
+    from edgeloom.llm.common import scratch
+
+    rows = variants(random.Random(7), 150) + [(1000 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(150)]
+    root = Path(scratch(spark).removeprefix("file://"))
+    before, conf = set(root.glob("*")), {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = sorted(tuple(r) for r in ngram_join.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found == brute_components(rows)
+    files = {d.name.rsplit("-", 1)[0]: len(list(d.glob("part-*"))) for d in set(root.glob("*")) - before}
+    # the index has as many rows as its sets' prefixes; its parts are those of its shuffle
+    steps = {k: n for k, n in files.items() if k != "lists"}
+    assert {"class-sizes", "groups", "entries", "group-sizes", "candidates", "similar", "open-lists"} <= set(steps)
+    assert max(steps.values()) <= 2 * spark.sparkContext.defaultParallelism, steps
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
 
