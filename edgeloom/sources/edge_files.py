@@ -1,7 +1,7 @@
 """Edge files: whitespace text (dst src weight), 24-byte binary records (dst, src, weight), and 1-based binary matrices.
 
 Text is read and written by Spark. Binary files go through Arrow batches and numpy, a file per task; the distributed writers
-make a file per partition, on any file system that pyarrow reaches by the path's scheme.
+make one or more files per partition, on any file system that pyarrow reaches by the path's scheme.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from ..session import ship
 RECORD = 24  # bytes: three little-endian 64-bit fields
 HEADER = 24  # of a binary matrix: rows, columns, entries
 SLICE = 100_000  # records of an Arrow batch
+FILE = 1_000_000  # records of a binary file that a task writes; a task holds one file's records
 BEL = np.dtype([("dst", "<u8"), ("src", "<u8"), ("val", "<u8")])
 BMTX = np.dtype([("src", "<i8"), ("dst", "<i8"), ("val", "<f8")])
 _EDGE = "src long, dst long, val long"
@@ -142,11 +143,26 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([_records(batch, "bel").tobytes()], pa.binary())], ["body"])
 
 
+def _pieces(batches, kind: str, most: int):
+    """Records of a partition in runs of at most `most`; one empty run if there are none."""
+    held, n, ran = [], 0, False
+    for batch in batches:
+        rows = _records(batch, kind)
+        while len(rows):
+            held.append(rows[: most - n])
+            rows, n = rows[most - n :], n + len(held[-1])
+            if n == most:
+                yield np.concatenate(held)
+                held, n, ran = [], 0, True
+    if n or not ran:
+        yield np.concatenate([np.empty(0, BMTX if kind == "bmtx" else BEL), *held])
+
+
 def _write_parts(edges: DataFrame, path: str, kind: str, shape: tuple[int, int] | None = None) -> int:
     if exists(edges.sparkSession, path):
         raise FileExistsError(path)
     ship(edges.sparkSession)
-    name = uuid.uuid4().hex[:8]
+    name, most = uuid.uuid4().hex[:8], FILE
     base = path if "://" in path else f"file://{path}"
 
     def run(batches):
@@ -156,19 +172,16 @@ def _write_parts(edges: DataFrame, path: str, kind: str, shape: tuple[int, int]
         task = TaskContext.get()
         store, folder = fs.FileSystem.from_uri(base)
         store.create_dir(folder, recursive=True)
-        part = f"{folder}/part-{task.partitionId():05d}-{name}.{kind}"
-        hidden = f"{folder}/_{task.partitionId()}-{task.taskAttemptId()}"  # readers pass over it
         n = 0
-        if shape:  # the header holds the number of records, so they are counted before
-            batches = list(batches)
-            n = sum(b.num_rows for b in batches)
-        with store.open_output_stream(hidden) as file:
-            if shape:
-                file.write(np.array([*shape, n], "<u8").tobytes())
-            for batch in batches:
-                file.write(_records(batch, kind).tobytes())
-                n += 0 if shape else batch.num_rows
-        store.move(hidden, part)  # a retried task replaces its own file
+        for i, records in enumerate(_pieces(batches, kind, most)):
+            part = f"{folder}/part-{task.partitionId():05d}-{i:04d}-{name}.{kind}"
+            hidden = f"{folder}/_{task.partitionId()}-{i}-{task.taskAttemptId()}"  # readers pass over it
+            with store.open_output_stream(hidden) as file:
+                if shape:  # each file's header holds the number of its records
+                    file.write(np.array([*shape, len(records)], "<u8").tobytes())
+                file.write(records.tobytes())
+            store.move(hidden, part)  # a retried task replaces its own file
+            n += len(records)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     rows = _weighted(edges).select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("val").cast("double" if kind == "bmtx" else "long"))
@@ -176,11 +189,12 @@ def _write_parts(edges: DataFrame, path: str, kind: str, shape: tuple[int, int]
 
 
 def write_bel_parts(edges: DataFrame, path: str) -> int:
-    """A folder of binary edge lists, one for each partition, written by its task; refuses to overwrite. Returns the edges written."""
+    """A folder of binary edge lists of at most FILE edges, written by the tasks, each one or more; refuses to overwrite. Returns the
+    edges written."""
     return _write_parts(edges, path, "bel")
 
 
 def write_bmtx_parts(edges: DataFrame, path: str, num_rows: int, num_cols: int) -> int:
-    """A folder of binary matrices of one shape, one for each partition: keep partitions of some 100 MB, for a task holds its
-    records to count them. Returns the entries written."""
+    """A folder of binary matrices of one shape, of at most FILE entries, written by the tasks, each one or more. Returns the entries
+    written."""
     return _write_parts(edges, path, "bmtx", (num_rows, num_cols))
