@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions import bitvec, rounds
 from edgeloom.operators import build, linalg, lists, partition, triangles, truss
 from edgeloom.plans import catalogue
-from edgeloom.sources import edge_files, generators
+from edgeloom.sources import edge_files, fixtures, generators
 from edgeloom.streaming import edges as stream
 
 FIVE = [(0, 1), (0, 2), (1, 0), (1, 2), (1, 3), (1, 4), (2, 0), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2), (3, 4), (4, 1), (4, 2), (4, 3)]
@@ -277,3 +277,34 @@ def test_entry(spark):
 
     assert one(__spark_entry__.entry(spark)) == 125968
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_pairs_take_tasks_by_their_number(spark, small_dir, monkeypatch):
+    """Tasks grow with the pairs, not with the bytes that come in, so that none holds more than ROWS of them."""
+    monkeypatch.setattr(rounds, "ROWS", 500)
+    for name in ("part_graph", "weighted_part_graph"):
+        g = getattr(fixtures, name)(spark, small_dir)
+        assert max(r["n"] for r in g.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()) < 1500
+    e = build.build(build.symmetric(fixtures.part_graph(spark, small_dir)))
+    assert max(r["n"] for r in e.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()) < 1500
+    rows = fixtures.table(spark, small_dir, "lineitem").select("l_orderkey", "l_partkey")
+    more = fixtures._pairs(rows.unionByName(rows).unionByName(spark.createDataFrame([(None, 1), (None, 2), (3, None)], rows.schema)), "l_orderkey", "l_partkey")
+    assert more.agg(F.sum("n")).first()[0] == 4 * fixtures._pairs(rows, "l_orderkey", "l_partkey").agg(F.sum("n")).first()[0]
+
+
+def test_reverse_ids_without_a_join(spark):
+    """Ids in (src, dst) order; a loop is its own reverse, an edge without a reverse has none; no join of edges."""
+    found = build.reverse_ids(edges_of(spark, [(5, 1), (1, 5), (2, 2), (1, 3)]))
+    assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 2), (3, 1)]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_binary_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """A large partition is written as several files, each with a header of its own."""
+    monkeypatch.setattr(edge_files, "FILE", 1000)
+    e = spark.range(4500).select(F.col("id").alias("src"), (F.col("id") * 7 % 5000).alias("dst"), F.lit(2).alias("val")).coalesce(1)
+    mtx = tmp_path / "x.bmtx"
+    assert edge_files.write_bmtx_parts(e, str(mtx), 5000, 5000) == 4500
+    assert sorted(r["nnz"] for r in edge_files.bmtx_metadata(spark, str(mtx)).collect()) == [500, 1000, 1000, 1000, 1000]
+    assert sorted(map(tuple, edge_files.read_edges(spark, str(mtx)).collect())) == sorted(map(tuple, e.collect()))
+    assert edge_files.write_bel_parts(e.where("false"), str(tmp_path / "none.bel")) == 0
