@@ -5,11 +5,12 @@ import os
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.functions import bitvec, rounds
-from edgeloom.operators import build, linalg, lists, partition, triangles, truss
+from edgeloom.operators import blocks, build, linalg, lists, partition, triangles, truss
 from edgeloom.plans import catalogue
 from edgeloom.sources import edge_files, fixtures, generators
 from edgeloom.streaming import edges as stream
@@ -308,3 +309,32 @@ def test_binary_files_of_bounded_size(spark, tmp_path, monkeypatch):
     assert sorted(r["nnz"] for r in edge_files.bmtx_metadata(spark, str(mtx)).collect()) == [500, 1000, 1000, 1000, 1000]
     assert sorted(map(tuple, edge_files.read_edges(spark, str(mtx)).collect())) == sorted(map(tuple, e.collect()))
     assert edge_files.write_bel_parts(e.where("false"), str(tmp_path / "none.bel")) == 0
+
+
+def test_packed_edges(spark):
+    """Any 64-bit ids and marks come back."""
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-50, 50, 5000)
+    x[:4000] = rng.integers(0, 40, 4000)
+    mark = rng.integers(-9, 9, 5000)
+    got = [(i, *(c.tolist() for c in blocks.decode(body))) for i, body in blocks.pieces(x % 3, x, y, mark.copy())]
+    back = sorted((a, b, c - (1 << 64) if c >> 63 else c) for _, xs, ys, ms in got for a, b, c in zip(xs, ys, ms, strict=True))
+    assert back == sorted(zip(x.tolist(), y.tolist(), mark.tolist(), strict=True)) and [i for i, *_ in got] == [0, 1, 2]
+    assert len(blocks.encode(np.repeat(np.arange(1000), 60), np.tile(np.arange(0, 6000, 100), 1000))) < 60_000
+
+
+@pytest.mark.parametrize("groups", [1, 2, 5])
+def test_blocks_find_each_triangle_once(spark, monkeypatch, groups):
+    """Whatever the number of groups and the size of a slab; counts shuffle packed edges and join nothing."""
+    monkeypatch.setattr(blocks, "groups_for", lambda rows: groups)
+    monkeypatch.setattr(blocks, "SLAB", 7)
+    rng = random.Random(groups)
+    e = {(a, b) for a in range(-20, 20) for b in range(a + 1, 20) if rng.random() < 0.3} | {(-20, b) for b in range(-19, 60)}
+    want = [t for t in itertools.combinations(range(-20, 60), 3) if {t[:2], t[1:], t[::2]} <= e]
+    g = edges_of(spark, sorted(e), "u long, v long")
+    assert sorted(map(tuple, triangles.triangle_list(g).collect())) == want
+    for count in triangles.STRATEGIES.values():
+        assert one(count(g)) == len(want) and "Join" not in count(g)._jdf.queryExecution().executedPlan().toString()
+    sides = [s for t in want for s in (t[:2], t[1:], t[::2])]
+    assert {(r["u"], r["v"]): r["support"] for r in triangles.edge_support(g).collect()} == {x: sides.count(x) for x in e}
+    assert {r["src"]: r["triangles"] for r in triangles.vertex_triangles(g).collect()} == {a: sum(t[0] == a for t in want) for a, _, _ in want}
