@@ -338,3 +338,27 @@ def test_blocks_find_each_triangle_once(spark, monkeypatch, groups):
     sides = [s for t in want for s in (t[:2], t[1:], t[::2])]
     assert {(r["u"], r["v"]): r["support"] for r in triangles.edge_support(g).collect()} == {x: sides.count(x) for x in e}
     assert {r["src"]: r["triangles"] for r in triangles.vertex_triangles(g).collect()} == {a: sum(t[0] == a for t in want) for a, _, _ in want}
+
+
+def test_figures_of_a_product(spark, monkeypatch):
+    """Entries and sum as of the product itself, with many groups and small slabs, negative values and cancelled entries."""
+    monkeypatch.setattr(linalg, "SQUARE", 40)
+    monkeypatch.setattr(blocks, "SLAB", 9)
+    rng = random.Random(3)
+    a, b = ({(rng.randrange(30), rng.randrange(30)): rng.randrange(-5, 6) for _ in range(300)} for _ in range(2))
+    a, b = (edges_of(spark, [(*k, v) for k, v in m.items()], "src long, dst long, val long") for m in (a, b))
+    found = linalg.product_figures(a, b)
+    assert tuple(found.first()) == tuple(linalg.multiply(a, b).agg(F.count(F.lit(1)), F.sum("val")).first())
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tuple(linalg.product_figures(a.where("src < 0"), b).first()) == (0, None)
+
+
+def test_closing_shuffles_no_wedges(spark):
+    """Triangles with a new edge among old ones, each once; edges are joined with ends, never with edges."""
+    rng = random.Random(4)
+    e = sorted({(a, b) for a in range(25) for b in range(a + 1, 25) if rng.random() < 0.4})
+    old, new = e[::2], e[1::2]
+    found = stream.closed_by(edges_of(spark, new, "u long, v long"), edges_of(spark, old, "u long, v long"))
+    want = [t for t in itertools.combinations(range(25), 3) if {t[:2], t[1:], t[::2]} <= set(e) and not {t[:2], t[1:], t[::2]} <= set(old)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
