@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounds import discard, materialize
+from ..functions.rounds import discard, materialize, sized
 from .build import degrees
+from .blocks import Task, by_task, decode, groups_for, pieces
 from .triangles import triangle_list
 
 
@@ -85,11 +88,63 @@ def _edges_of(live: DataFrame) -> DataFrame:
     return live.select(F.explode(F.array(*SIDES)).alias("e")).distinct()
 
 
+def _supported(graph: DataFrame, rows: int, least: int) -> DataFrame:
+    """u, v of the edges in `least` triangles or more. Tasks pack their counts by the edges' owners, some 4 bytes a count; an owner
+    adds up a part of the edges."""
+    owners = max(1, groups_for(rows) ** 2)
+
+    def work(task: Task):
+        sides = [(s, np.zeros(len(s.keys), np.int64)) for s in (task.xy, task.xz, task.yz)]
+        for places in task.triangles():
+            for (_, n), at in zip(sides, places, strict=True):
+                n += np.bincount(at, minlength=len(n))
+        for (side, n), (xs, ys) in zip(sides, ((task.x, task.y), (task.x, task.z), (task.y, task.z)), strict=True):
+            at = np.flatnonzero(n)
+            if len(at):
+                x, y = xs[side.x[at]], ys[side.y[at]]
+                owner = ((x * 31 + y).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % owners
+                found = list(pieces(owner, x, y, n[at]))
+                yield [pa.array([i for i, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())]
+
+    def added(batches):
+        bodies = [b for batch in batches for b in batch.column("body").to_pylist()]
+        if bodies:
+            x, y, n = (np.concatenate(c) for c in zip(*map(decode, bodies), strict=True))
+            order = np.lexsort((y, x))
+            x, y, n = x[order], y[order], n[order].view(np.int64)
+            new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            keep = new[np.add.reduceat(n, new) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[keep], y[keep])), pa.array(np.maximum(x[keep], y[keep]))], ["u", "v"])
+
+    counts = by_task(sized(graph, rows), work, "owner int, body binary")
+    return counts.repartitionById(owners, F.col("owner")).select("body").mapInArrow(added, "u long, v long")
+
+
+def _shrunk(graph: DataFrame, k: int) -> tuple[DataFrame, bool]:
+    """Edges that hold the k-truss, and whether they are it: while a round takes a tenth of the edges or more, support is counted
+    anew, for that costs less than to write the triangles of edges that go. Whatever the order of peeling, the truss is the same."""
+    graph = materialize(graph.select("u", "v"), "edges")
+    n = graph.count()
+    while n:
+        left = materialize(_supported(graph, n, k - 2), "edges")
+        kept = left.count()
+        discard(graph)
+        graph, was, n = left, n, kept
+        if kept == was:
+            return graph, True
+        if 10 * (was - kept) < was:
+            break
+    return graph, not n
+
+
 def ktruss(graph: DataFrame, k: int) -> DataFrame:
     """u, v of the k-truss. k <= 2 keeps every edge."""
     if k <= 2:
         return graph.select("u", "v")
-    edges, live = _triangles(node_eliminate(graph, k - 1))
+    graph, done = _shrunk(graph, k)
+    if done:
+        return graph
+    edges, live = _triangles(graph)
     live, _ = _peel(live, k)
     return edges.join(_edges_of(live), "e", "left_semi").select("u", "v")
 

@@ -362,3 +362,22 @@ def test_closing_shuffles_no_wedges(spark):
     want = [t for t in itertools.combinations(range(25), 3) if {t[:2], t[1:], t[::2]} <= set(e) and not {t[:2], t[1:], t[::2]} <= set(old)]
     assert sorted(map(tuple, found.collect())) == want
     assert "Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_truss_by_counting_anew(spark, monkeypatch):
+    """Edges fall by rounds of counts before any triangle is written; the truss is that of plain peeling, and none are left of a
+    graph that falls apart."""
+    monkeypatch.setattr(truss, "groups_for", lambda rows: 3)
+    rng = random.Random(12)
+    e = sorted({(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < (0.97 if b < 14 else 0.2)})
+    g, live = edges_of(spark, e, "u long, v long"), set(e)
+    while True:
+        near = {x: {b for a, b in live if a == x} | {a for a, b in live if b == x} for x in range(40)}
+        weak = {x for x in live if len(near[x[0]] & near[x[1]]) < 6}
+        if not weak:
+            break
+        live -= weak
+    assert {(r["u"], r["v"]) for r in truss.ktruss(g, 8).collect()} == live and live
+    written = []
+    monkeypatch.setattr(truss, "_triangles", lambda graph: written.append(graph.count()) or (_ for _ in ()).throw(AssertionError("listed")))
+    assert truss.ktruss(g.where("v >= 14"), 8).count() == 0 and not written
